@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelathe.llm import terms, together
+from ratelathe.llm import lookalikes, mojibake, terms, together
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.1
 MIN_TOGETHER, MIN_RATIO = 10, 10
@@ -34,7 +34,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pairs(spark, sf_dir).select("item_a", "item_b")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_pairs)}
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = _table(spark, sf_dir, "movies").select(F.struct(F.lit("movies").alias("name"), F.col("raw_item_id").cast("long").alias("id")).alias("key"), F.col("title").alias("text"))
+    tags = _table(spark, sf_dir, "tags").select(F.struct(F.lit("tags").alias("name"), F.col("tag_id").alias("id")).alias("key"), F.col("tag").alias("text"))
+    found = mojibake.repaired(titles.unionByName(tags), "key", "text")
+    return found.select(F.col("id.name").alias("table_name"), F.col("id.id").alias("record_id"), "text", "restored", "kind")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_repaired(spark, sf_dir).select("table_name", "record_id")
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.normal_forms(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalikes.look_alikes(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_pairs, p4_found, p4_repaired, p9_found, p9_forms)}
 
 _TERMS = """
 WITH v AS (SELECT 'tags.tag' AS field_name, tag_id AS id, lower(trim(tag, ' ')) AS term FROM tags
