@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelathe.llm import lookalikes, mojibake, terms, together
+from ratelathe.llm import lookalikes, mojibake, packing, terms, together, tokenize
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.1
 MIN_TOGETHER, MIN_RATIO = 10, 10
+CAPACITY = 1_024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_repaired(spark, sf_dir).select("table_name", "record_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("size"))
+    placed = packing.fill_containers(sizes, "doc_id", "size", CAPACITY)
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_summary(p8_containers(spark, sf_dir), CAPACITY)
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normal_forms(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
 
@@ -54,7 +69,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_pairs, p4_found, p4_repaired, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_pairs, p4_found, p4_repaired, p7_ids, p8_containers, p8_fill, p9_found, p9_forms)}
 
 _TERMS = """
 WITH v AS (SELECT 'tags.tag' AS field_name, tag_id AS id, lower(trim(tag, ' ')) AS term FROM tags
