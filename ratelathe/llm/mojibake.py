@@ -34,7 +34,7 @@ ORDINARY = re.compile("[\t\n -~\u00a0-\u017f\u0218-\u021bΑ-ώЁЄІЇЎ-яёє
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 SHIFT_JIS = re.compile(rb"(?:[\x81-\x84\x88-\x9f][\x40-\x7e\x80-\xfc]){2,}")
 #: Signs that may follow a letter in proper text, and letters that Cyrillic text holds although legacy tables put them among the signs.
-FOLLOWS_LETTER, ODD_LETTERS = set("«»¿¡Ёё‘’“”„…–—›"), set("ƒªº")
+FOLLOWS_LETTER, ODD_LETTERS = set("«»Ёё‘’“”„…–—›"), set("ƒªº")
 LOST = "[\ufffd\u0080-\u0084\u0086-\u009f]"
 #: Records that must hold a re-read window, how many times those of the window as it is, and rounds for text spoiled again and again.
 MIN_RECORDS, MIN_TIMES, ROUNDS = 8, 10, 4
@@ -56,9 +56,7 @@ def _bytes_of(encoding: str) -> dict[str, int]:
 
 
 def _span_counts(seen: str, read: str, before: str, after: str, encoding: str) -> bool:
-    """Whether a well-formed span ``seen`` is spoiled text for ``read``, given its neighbours."""
-    if any(not ORDINARY.match(x) for x in read):
-        return False
+    """Whether a well-formed span ``seen`` of ordinary writing ``read`` is spoiled text, given its neighbours."""
     if len(read) > 2 or any(x in ODD_LETTERS or not x.isalpha() and x not in FOLLOWS_LETTER for x in seen):
         return True
     if any(x.islower() and y.isupper() for x, y in zip(seen, seen[1:])):
@@ -77,13 +75,16 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
     if not any(x in table for x in text):
         return text, 0
     raw = bytes(table.get(x, 0) for x in text)
+    spans = [(m.start(), m.end(), m.group().decode()) for m in UTF8.finditer(raw)]
+    ordinary = [x for x in spans if all(map(ORDINARY.match, x[2]))]
+    # One span that counts speaks for the others in the text.
+    if not any(_span_counts(text[a:z], read, text[a - 1 : a], text[z : z + 1], encoding) for a, z, read in ordinary):
+        ordinary = []
     out, at, covered = [], 0, 0
-    for m in UTF8.finditer(raw):
-        seen, read = text[m.start() : m.end()], m.group().decode()
-        if _span_counts(seen, read, text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1], encoding):
-            out += (text[at : m.start()], read)
-            at = m.end()
-            covered += len(seen)
+    for a, z, read in ordinary:
+        out += (text[at:a], read)
+        at = z
+        covered += z - a
     if not covered and encoding in ("cp1252", "latin-1"):
         raw = bytes(table.get(x, ord(x) if ord(x) < 0x80 else 0) for x in text)
         for m in SHIFT_JIS.finditer(raw):

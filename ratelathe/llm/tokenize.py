@@ -105,7 +105,7 @@ class WordEncoder:
         places = [k for words in texts for k in range(len(words))]
         self._load("places", ["d", "k", "w"], [docs, places, [self.known[w] for words in texts for w in words]])
         self._load("docs", ["d"], [list(range(len(texts)))])
-        found = self.db.execute(
+        found = self.db.sql(
             "SELECT coalesce(ids, []::INTEGER[]) AS ids FROM docs LEFT JOIN (SELECT d, list(t ORDER BY k, p) AS ids FROM places JOIN tokens USING (w) GROUP BY d) USING (d) ORDER BY d"
         ).to_arrow_table()["ids"]
         return found.combine_chunks().cast(pa.list_(pa.int32()))
