@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems",)
+MODULES = ("problems", "reference")
 
 
 def _merged(name: str) -> dict:
