@@ -64,7 +64,7 @@ def lenient_bool(x: Column) -> Column:
 def cell(x: Column, kind: str) -> Column:
     """A table cell: null is empty, a boolean true or false, a double has six decimals."""
     text = F.format_string("%.6f", x) if kind in ("double", "float") else x.cast("string")
-    return F.coalesce(text, F.lit(""))
+    return F.when(x.isNull(), F.lit("")).otherwise(text)
 
 
 def seed_slug(seed: Column) -> Column:

@@ -44,6 +44,7 @@ def cached(spark: SparkSession, root: str, kind: str, identity: dict, make: Call
     """The tables of an entry, and ``hit``, ``miss`` or ``disabled``. ``make`` is called for the last two only."""
     if not enabled(policy):
         return make(), "disabled"
+    identity = json.loads(json.dumps(identity))  # as it is read back
     folder = os.path.join(root, kind, identity_key(identity))
     try:
         held = read_json(os.path.join(folder, "identity.json"))

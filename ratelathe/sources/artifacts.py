@@ -49,7 +49,7 @@ def reserve_folder(parent: str, slug: str, now: datetime | None = None) -> str:
 
 def scan_documents(spark: SparkSession, runs: str, name: str) -> DataFrame:
     """``run_dir, document`` (JSON text) of each run folder's file of this name. A run without it has no row."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(runs)
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name).text(runs, wholetext=True)
     return files.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run_dir"), F.col("value").alias("document"))
 
 

@@ -52,10 +52,9 @@ def required(spark: SparkSession, folder: str, name: str) -> str:
     return path
 
 
-def line_count(spark: SparkSession, path: str, header: bool = False, encoding: str = "UTF-8") -> int:
+def line_count(spark: SparkSession, path: str, header: bool = False) -> int:
     """Lines that are not empty (white space counts as content), less one for a header, at least 0."""
-    text = spark.read.option("encoding", encoding).csv(path, sep="\u0001", schema="value string", quote="", mode="PERMISSIVE", ignoreLeadingWhiteSpace=False) if encoding != "UTF-8" else spark.read.text(path)
-    return max(text.filter(F.col("value") != "").count() - header, 0)
+    return max(spark.read.text(path).filter(F.col("value") != "").count() - header, 0)
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str]) -> None:
@@ -108,7 +107,7 @@ def read_genres(spark: SparkSession, folder: str) -> list[str]:
 def genres_of_flags(flags: Column, names: list[str]) -> Column:
     """The names whose flag is ``1``, joined by ``|``; ``(no genres listed)`` for none."""
     pairs = F.arrays_zip(flags.alias("flag"), F.array(*map(F.lit, names)).alias("name"))
-    active = F.transform(F.filter(pairs, lambda p: p["0"] == "1"), lambda p: p["1"])
+    active = F.transform(F.filter(pairs, lambda p: p["flag"] == "1"), lambda p: p["name"])
     return F.when(F.size(active) == 0, F.lit(NO_GENRES)).otherwise(F.array_join(active, "|"))
 
 
