@@ -1,5 +1,9 @@
 """One epoch of stochastic gradient descent for any of the models, in NumPy.
 
+Steps of a model with p and q only touch one user and one item each, so steps that share neither commute. They are
+taken level by level, a step's level being above those of the earlier steps of its user and of its item: the outcome is
+that of one step after the other, in whole-array operations.
+
 The six models differ in their parts only, so one step serves all: a part that a model lacks is left out. With e the
 error, z the user's context and q the mixed item vector, all read before the step, the step is
 
@@ -49,6 +53,9 @@ def epoch(state: State, order: np.ndarray, users: np.ndarray, items: np.ndarray,
     own = 1.0 - a if clustered else 1.0
     norms = [1.0 / np.sqrt(len(one.items)) if len(one.items) else 0.0 for one in lists]
     lb = penalty["b"]
+    if x is None and y is None and not clustered:
+        _level_epoch(state, order, users, items, ratings, rate, penalty)
+        return
     for k in order.tolist():
         u, i, r = int(users[k]), int(items[k]), ratings[k]
         one, norm = lists[u], norms[u]
@@ -90,3 +97,32 @@ def epoch(state: State, order: np.ndarray, users: np.ndarray, items: np.ndarray,
             y[history] += rate * (e * norm * own * mixed - penalty["y"] * y[history])
             if clustered:
                 yc[one.clusters] += rate * (np.outer(e * norm * a * one.counts, mixed) - penalty["yC"] * yc[one.clusters])
+
+
+def _levels(users: np.ndarray, items: np.ndarray, n_users: int, n_items: int) -> np.ndarray:
+    of_user, of_item, found = [0] * n_users, [0] * n_items, []
+    for u, i in zip(users.tolist(), items.tolist()):
+        level = max(of_user[u], of_item[i])
+        found.append(level)
+        of_user[u] = of_item[i] = level + 1
+    return np.array(found, np.int64)
+
+
+def _level_epoch(state: State, order: np.ndarray, users: np.ndarray, items: np.ndarray, ratings: np.ndarray, rate: float, penalty: dict[str, float]) -> None:
+    bu, bi, p, q = (state.values[k] for k in ("bu", "bi", "p", "q"))
+    levels = _levels(users[order], items[order], len(bu), len(bi))
+    by_level = np.argsort(levels, kind="stable")
+    ends = np.flatnonzero(np.diff(levels[by_level], append=-1)) + 1
+    placed = order[by_level]
+    all_u, all_i, all_r = users[placed], items[placed], ratings[placed] - state.mean
+    start = 0
+    for end in ends.tolist():
+        u, i = all_u[start:end], all_i[start:end]
+        pu, qi, b, c = p[u], q[i], bu[u], bi[i]
+        e = all_r[start:end] - b - c - np.einsum("ij,ij->i", pu, qi)
+        bu[u] = b + rate * (e - penalty["b"] * b)
+        bi[i] = c + rate * (e - penalty["b"] * c)
+        e = e[:, None]
+        p[u] = pu + rate * (e * qi - penalty["p"] * pu)
+        q[i] = qi + rate * (e * pu - penalty["q"] * qi)
+        start = end
