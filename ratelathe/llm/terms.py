@@ -58,9 +58,11 @@ def term_counts(records: DataFrame) -> DataFrame:
     ``terms`` array of strings; one row per record). ``field_records`` counts the field's records that have a term.
     Null and empty arrays and null terms count nowhere; repeated rows count each; no rows give no rows."""
     slim = records.select("field_name", F.filter("terms", lambda x: x.isNotNull()).alias("terms"))
-    each = slim.select("field_name", "terms", F.posexplode("terms").alias("k", "term"), F.spark_partition_id().alias("block"))
-    first = (F.array_position("terms", F.col("term")) == F.col("k") + 1).cast("long")
-    blocks = cut(each.groupBy("field_name", "term", "block").agg(F.count("*").alias("occurrences"), F.sum(first).alias("records")))
+    entry = lambda x, n, m: F.struct(x.alias("term"), F.lit(n).alias("occurrences"), F.lit(m).alias("records"))
+    several = F.concat(F.transform("terms", lambda x: entry(x, 1, 0)), F.transform(F.array_distinct("terms"), lambda x: entry(x, 0, 1)))
+    marks = F.when(F.size("terms") == 1, F.transform("terms", lambda x: entry(x, 1, 1))).otherwise(several)
+    each = slim.select("field_name", F.explode(marks).alias("x"), F.spark_partition_id().alias("block")).select("field_name", "x.*", "block")
+    blocks = cut(each.groupBy("field_name", "term", "block").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
     dictionary = dense_ids(blocks.select("field_name", "term").distinct(), ["field_name", "term"], "id")
     encoded = blocks.join(dictionary, ["field_name", "term"]).select("id", "occurrences", "records")
     arrays = encoded.mapInArrow(lambda x: _gather(x, False), ARRAYS).repartition("range").mapInArrow(lambda x: _gather(x, True), ARRAYS)
