@@ -16,6 +16,7 @@ may be lost; the rest is restored all the same.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +56,12 @@ def _bytes_of(encoding: str) -> dict[str, int]:
     return found
 
 
+@lru_cache
+def _charmap(encoding: str) -> dict[int, int]:
+    """The same for all of a text: ASCII stays, and what is neither becomes a question mark, so places are kept."""
+    return {k: k for k in range(0x80)} | {ord(x): b for x, b in _bytes_of(encoding).items()}
+
+
 def _span_counts(seen: str, read: str, before: str, after: str, encoding: str) -> bool:
     """Whether a well-formed span ``seen`` of ordinary writing ``read`` is spoiled text, given its neighbours."""
     if len(read) > 2 or any(x in ODD_LETTERS or not x.isalpha() and x not in FOLLOWS_LETTER for x in seen):
@@ -71,10 +78,7 @@ def _span_counts(seen: str, read: str, before: str, after: str, encoding: str) -
 
 def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
     """``text`` with its spoiled spans decoded, and the number of characters in them."""
-    table = _bytes_of(encoding)
-    if not any(x in table for x in text):
-        return text, 0
-    raw = bytes(table.get(x, 0) for x in text)
+    raw = codecs.charmap_encode(text, "replace", _charmap(encoding))[0]
     spans = [(m.start(), m.end(), m.group().decode()) for m in UTF8.finditer(raw)]
     ordinary = [x for x in spans if all(map(ORDINARY.match, x[2]))]
     # One span that counts speaks for the others in the text.
@@ -86,7 +90,6 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
         at = z
         covered += z - a
     if not covered and encoding in ("cp1252", "latin-1"):
-        raw = bytes(table.get(x, ord(x) if ord(x) < 0x80 else 0) for x in text)
         for m in SHIFT_JIS.finditer(raw):
             try:
                 read = m.group().decode("shift_jis")
