@@ -9,6 +9,7 @@ then added up, position by position, and each position is turned back into its t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -75,5 +76,6 @@ def term_counts(records: DataFrame) -> DataFrame:
 def mark_terms(counts: DataFrame, rare_records: int, common_share: float) -> DataFrame:
     """``counts`` with ``mark``: ``rare`` in at most ``rare_records`` records, ``common`` if not rare and in more than
     ``common_share`` of the field's records, else null."""
-    common = F.col("records") > F.lit(common_share) * F.col("field_records")
+    # In decimals, so that a share that is met exactly is not exceeded.
+    common = F.col("records") > F.lit(Decimal(str(common_share))) * F.col("field_records")
     return counts.withColumn("mark", F.when(F.col("records") <= rare_records, "rare").when(common, "common"))
