@@ -11,10 +11,10 @@ need what other ranges hold of them, and that is two rows a range.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +86,6 @@ def key_percentiles(weighted: DataFrame, percents: list[float]) -> DataFrame:
 
 
 def overloaded_keys(weighted: DataFrame, total: int, share: float) -> DataFrame:
-    """``key, rows, share``: the non-null keys that hold at least ``share`` of ``total`` rows."""
+    """``key, rows, share``: the non-null keys that hold at least ``share`` of ``total`` rows, compared exactly."""
     held = weighted.groupBy("key").agg(F.sum("n").alias("rows")).filter("key is not null")
-    return held.withColumn("share", F.col("rows") / F.lit(max(total, 1))).filter(F.col("rows") >= F.lit(share) * F.lit(total))
+    return held.withColumn("share", F.col("rows") / F.lit(max(total, 1))).filter(F.col("rows") >= F.lit(Decimal(str(share)) * total))

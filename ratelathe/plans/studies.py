@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from dataclasses import replace
+from dataclasses import asdict, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ratelathe.functions import metrics
 from ratelathe.functions.scalars import candidate_file, merged
+from ratelathe.models import config as cfg
 from ratelathe.operators.views import Ratings
 from ratelathe.plans import experiment, runtime
 from ratelathe.plans.experiment import SplitPlan
@@ -65,9 +67,32 @@ def tune(spark: SparkSession, data: Ratings, base: dict, candidates: list[dict],
     return ranked
 
 
+def _reused(runs: str | None, data: Ratings, profile: dict, plan: SplitPlan, seed: int) -> experiment.Result | None:
+    """The latest completed run in ``runs`` of the same data set, model, split and seeds, made from the same commit. Only
+    a clean repository is one that a run can be compared by; else, or if there is none, None."""
+    state = runtime.git_state(runs) if runs and os.path.isdir(runs) else {}
+    if not state.get("clean"):
+        return None
+    config = asdict(cfg.config_of(cfg.load_profile(profile), seed))
+    config = json.loads(json.dumps(config | {"penalties": dict(config["penalties"])}))
+    for name in sorted(os.listdir(runs), reverse=True):
+        folder = os.path.join(runs, name)
+        if not os.path.isfile(os.path.join(folder, "metrics.json")):
+            continue
+        m = processed.read_json(os.path.join(folder, "run_manifest.json"))
+        same = m["dataset"]["short_name"] == data.name and m["model"]["config"] == config and m["split"]["id"] == plan.id()
+        if same and m["status"] == "completed" and m["git"].get("clean") and m["git"]["commit"] == state["commit"]:
+            return experiment.Result(folder, processed.read_json(os.path.join(folder, "metrics.json")), m, None)
+    return None
+
+
 def repeated(spark: SparkSession, data: Ratings, profile: dict, plans: list[SplitPlan], seeds: list[int], **options: object) -> DataFrame:
-    """A row per plan and seed of full runs."""
-    rows = [_row(plan.id(), plan, seed, experiment.run(spark, data, profile, plan, seed=seed, **options)) for seed in seeds for plan in plans]
+    """A row per plan and seed of full runs; with ``out_dir`` among the options, matching runs there are taken over."""
+    rows = []
+    for seed in seeds:
+        for plan in plans:
+            found = _reused(options.get("out_dir"), data, profile, plan, seed)
+            rows.append(_row(plan.id(), plan, seed, found or experiment.run(spark, data, profile, plan, seed=seed, **options)))
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 

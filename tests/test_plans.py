@@ -121,6 +121,21 @@ def test_tuning_and_seeds(spark, data, tmp_path):
     assert manifests.validate_file(os.path.join(folder, "benchmark_manifest.json")) == "benchmark_manifest"
 
 
+def test_runs_of_a_clean_commit_are_reused(spark, data, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init")
+    (tmp_path / ".gitignore").write_text("*\n")
+    git("commit", "--allow-empty", "-m", "x")
+    base = profile("biased_mf", latent_dim=2, epochs=1)
+    first = studies.repeated(spark, data, base, [PLAN], [1], out_dir=str(tmp_path)).first()
+    runs = len(os.listdir(tmp_path))
+    assert tuple(studies.repeated(spark, data, base, [PLAN], [1], out_dir=str(tmp_path)).first()) == tuple(first) and len(os.listdir(tmp_path)) == runs
+    studies.repeated(spark, data, base, [PLAN], [2], out_dir=str(tmp_path))
+    assert len(os.listdir(tmp_path)) == runs + 1
+
+
 def test_ranking_order(spark):
     rows = spark.createDataFrame([("a", 0, 1.0, 5.0, 1.0), ("a", 0, 1.0, 5.0, 1.0), ("b", 1, 1.0, 4.0, 1.0), ("c", 2, 0.9, 9.0, 99.0)], "unit string, candidate_index int, validation_rmse double, fit_seconds double, peak_mb double")
     assert [r["unit"] for r in studies.rank_candidates(rows).orderBy("rank").collect()] == ["c", "b", "a"]
