@@ -71,8 +71,10 @@ def _span_counts(seen: str, read: str, before: str, after: str, encoding: str) -
     if any("Ѐ" <= x <= "ӿ" for x in seen):
         latin = any("a" <= x.lower() <= "z" for x in before + after)
         return len(read) > 1 or latin and not "Ѐ" <= read <= "ӿ"
-    if len(read) > 1:
+    if len(read) > 1 or len(seen) > 2 and "\u2010" <= read <= "\u203a":
         return True
+    if encoding in ("cp1250", "iso8859-2"):
+        return seen[0] in "ÂĂÄĹ" and seen[1:].isalpha() and seen[1] not in "Şş"  # Romanian has these after Ă
     return encoding in ("cp1252", "latin-1") and (after.isalpha() or seen[1:].isalpha())
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from ratelathe.llm import lookalikes, mojibake, packing, tokenize
 
-PROPER = ["A Maçã anã (2004)", "Große Straße", "Чужая Дорога", "Гёте и ТРЁХ", "ГОЛОС…", "A MAÇÃ…", "Żółta Gwiazda", "déjà vu « été »", "¿Dónde está?", "静かな夜", "Ναι: Νύχτα", "—él dijo", "bênção de coração", "", "plain"]
+PROPER = ["A Maçã anã (2004)", "Große Straße", "Чужая Дорога", "Гёте и ТРЁХ", "ГОЛОС…", "A MAÇÃ…", "Żółta Gwiazda", "déjà vu « été »", "¿Dónde está?", "静かな夜", "Ναι: Νύχτα", "—él dijo", "bênção de coração", "BĂŞICĂ", "‚Ähnlich‘", "", "plain"]
 SPOILT = [(t, e) for t in ("größer Café déjà", "Příběh: žlutá", "поздний финал", "Żółta Gwiazda – „tak”", "静かな夜", "Niño’s año") for e in ("latin-1", "cp1252", "cp1251", "mac_roman", "cp437")]
 
 
@@ -27,6 +27,11 @@ def test_multibyte_round_trip(text, encoding):
     assert mojibake.restore(spoil(text, encoding)) == text
 
 
+@pytest.mark.parametrize(("text", "encoding"), [("Duluvuto’s Ferry", "cp437"), ("Lucky – Quarry", "cp850"), ("Die frühe Brücke", "cp1250"), ("canción", "iso8859-2")])
+def test_single_signs(text, encoding):
+    assert mojibake.restore(spoil(text, encoding)) == text
+
+
 def test_spoilt_twice_and_in_part():
     assert mojibake.restore(spoil(spoil("Canción", "cp1252"), "cp1252")) == "Canción"
     assert mojibake.restore("año y niÃ±o") == "año y niño"
