@@ -29,13 +29,13 @@ from ratelathe.session import broadcast_if_small, cut
 
 #: Encodings that text may have been read in by mistake, the likelier first; single-byte ones that it may have been written in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "iso8859-2", "cp850", "cp852")
-WRITTEN_IN = ("cp1252", "cp1250", "iso8859-2", "cp1251")
+WRITTEN_IN = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866")
 #: Characters of ordinary writing, as ranges.
 ORDINARY = re.compile("[\t\n -~\u00a0-\u017f\u0218-\u021bΑ-ώЁЄІЇЎ-яёєіїўҐґ\u1e80-\u1e85\u1ef2\u1ef3\u2010-\u2026‰‹›€№™\u3000-\u30ff\u4e00-\u9fff\uff01-\uff60\uffe0-\uffe6\U0001f300-\U0001f6ff]")
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 SHIFT_JIS = re.compile(rb"(?:[\x81-\x84\x88-\x9f][\x40-\x7e\x80-\xfc]){2,}")
 #: Signs that may follow a letter in proper text, and letters that Cyrillic text holds although legacy tables put them among the signs.
-FOLLOWS_LETTER, ODD_LETTERS = set("«»Ёё‘’“”„…–—›"), set("ƒªº")
+FOLLOWS_LETTER, ODD_LETTERS = set("«»Ёё‘’“”…–—›"), set("ƒªº")
 LOST = "[\ufffd\u0080-\u0084\u0086-\u009f]"
 #: Records that must hold a re-read window, how many times those of the window as it is, and rounds for text spoiled again and again.
 MIN_RECORDS, MIN_TIMES, ROUNDS = 8, 10, 4
