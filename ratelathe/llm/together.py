@@ -47,14 +47,24 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_r
     chunks = encoded.join(broadcast_if_small(cut(large)), "basket", "left").withColumn("block", block)
     chunks = cut(chunks.groupBy("basket", "block").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     alone = chunks.select("basket", F.col("ids").alias("left"), F.col("ids").alias("right"), F.lit(False).alias("apart"))
-    split = chunks.filter("block >= 0")
-    other = split.select(F.col("basket").alias("of"), F.col("block").alias("after"), F.col("ids").alias("right"))
-    apart = split.join(other, (F.col("basket") == F.col("of")) & (F.col("block") < F.col("after"))).select("basket", F.col("ids").alias("left"), "right", F.lit(True).alias("apart"))
-    stripes = _products(alone).unionByName(_products(apart.repartition("basket", F.hash("left", "right"))))
+    apart = _chunk_pairs(chunks.filter("block >= 0"))
+    stripes = _products(alone).unionByName(_products(apart))
     counted = _count(stripes, ids, top, key_baskets)
     return _scores(counted.filter(F.col("together") >= min_count), ids, n, min_ratio)
 
 
+def _chunk_pairs(chunks: DataFrame) -> DataFrame:
+    """``basket, left, right, apart`` for every two chunks of a basket. Each chunk is sent to its pairs and met there by
+    the other one, so that the pairs of a basket with very many chunks are not made in one task."""
+    # A list per basket of more than a block's items; as long as there are blocks at most.
+    blocks = cut(chunks.groupBy("basket").agg(F.collect_set("block").alias("blocks")))
+    sent = chunks.join(broadcast_if_small(blocks, 10_000), "basket").withColumn("other", F.explode("blocks")).filter("block <> other")
+    first = F.col("block") < F.col("other")
+    sides = sent.select("basket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(first, F.col("ids")).alias("left"), F.when(~first, F.col("ids")).alias("right"))
+    met = sides.groupBy("basket", "lo", "hi").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"))
+    return met.select("basket", "left", "right", F.lit(True).alias("apart"))
+
+
 def _count(stripes: DataFrame, ids: DataFrame, top: int, key_baskets: int) -> DataFrame:
     """``x, y, together``. The final count needs no second shuffle, as rows with one x are together already; unless an
     item has more baskets than ``key_baskets``: then those items' stripes are counted in several parts first."""
