@@ -116,7 +116,7 @@ def test_fit_beats_the_mean_and_scores_agree(name, data, clusters):
     sizes = {"p": data.n_users, "q": data.n_items}
     assert all(model.table(p, "id").count() == n for p, n in sizes.items() if p in config.parts)
     again = fit.fit(data, config, fit.Indices(clusters=clusters if "cb" in name else None))
-    assert rmse(again, data) == rmse(model, data)
+    assert rmse(again, data) == pytest.approx(rmse(model, data))  # sums may be taken in another order
     if "cb" in name:
         shift = scoring.cluster_contribution(model, data.rows).first()
         assert shift["measured"] and scoring.cluster_contribution(scoring.without_clusters(model), data.rows).first()["max_abs_contribution"] == 0.0
@@ -143,7 +143,7 @@ def test_predictions(spark, data):
     pairs = spark.createDataFrame([(0, 0), (0, 0), (0, 999), (None, 1)], "user_idx int, item_idx int")
     found = [r["prediction"] for r in scoring.predict(model, pairs).orderBy(F.col("user_idx").asc_nulls_last(), "item_idx").collect()]
     assert found[0] == found[1] is not None and found[2:] == [None, None]
-    assert scoring.predict_one(model, 0, 0) == found[0]
+    assert scoring.predict_one(model, 0, 0) == pytest.approx(found[0])
     assert scoring.parameter_bytes(model) == 4 * (3 * data.n_users + 3 * data.n_items)
     assert scoring.predict(model, pairs.limit(0)).count() == 0
     with pytest.raises(ValueError):
