@@ -6,9 +6,11 @@ decoded, again and again while the result holds such spans (text spoiled twice).
 ordinary writing and the span itself is not: a single letter before a dash or a quote stays as it is.
 
 Single-byte originals have no structure, so the corpus decides. Every window of characters around a non-ASCII one is
-counted over all records. A window is spoiled if re-reading it, from one of the legacy encodings to another, gives a
-window that is far more frequent. Only distinct windows are re-read, so the cost of this follows the variety of the
-text and not its volume.
+counted over all records and over all distinct texts. A window is spoiled if re-reading it, from one of the legacy
+encodings to another, gives a window that is far more frequent by either count. Free of counts, it is spoiled if its
+middle cannot stand in that word (a letter of another script, a sign between letters) and a re-reading can; a capital
+after a small letter needs some texts that hold the reading. Only distinct windows are re-read, so the cost of this
+follows the variety of the text and not its volume.
 
 Replacement characters (U+FFFD) and C1 control characters mark a record as affected in any case. What they stood for
 may be lost; the rest is restored all the same.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratelathe.llm.lookalikes import CYRILLIC, GREEK
 from ratelathe.session import broadcast_if_small, cut
 
 #: Encodings that text may have been read in by mistake, the likelier first; single-byte ones that it may have been written in.
@@ -39,6 +43,12 @@ FOLLOWS_LETTER, ODD_LETTERS = set("«»Ёё‘’“”…–—›"), set("ƒª
 LOST = "[\ufffd\u0080-\u0084\u0086-\u009f]"
 #: Records that must hold a re-read window, how many times those of the window as it is, and rounds for text spoiled again and again.
 MIN_RECORDS, MIN_TIMES, ROUNDS = 8, 10, 4
+#: The same two, in distinct texts, for a capital after a small letter.
+FLIP_TEXTS, FLIP_TIMES = 2, 2
+#: Signs that proper words hold; other characters than symbols and numbers that they do not hold between letters.
+IN_WORDS, NOT_IN_WORDS = set("´`×™®©°"), set("„‚‡†§¶ªº")
+#: Greek and Cyrillic letters that may be meant to look like a Latin one.
+LOOK_LATIN = set(CYRILLIC + GREEK)
 
 
 @lru_cache
@@ -132,9 +142,45 @@ def _windows(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit("  "), text, F.lit("  ")), F.lit("(?s)(?=(..[^\\x00-\\x7f]..))"), 1)
 
 
+def _script(x: str) -> str:
+    """The script of a letter of the legacy encodings; empty for any other character."""
+    if not x.isalpha() or x in "ªº":
+        return ""
+    if x.isascii() or "À" <= x <= "\u024f" or "\u1e00" <= x <= "\u1eff":
+        return "latin"
+    return "greek" if x == "µ" or "Ͱ" <= x <= "Ͽ" else "cyrillic" if "Ѐ" <= x <= "ԯ" else ""
+
+
+def _odd(window: str) -> int:
+    """Whether the middle of a window cannot stand in its word: 2 if no proper word holds it, 1 for a capital after a
+    small letter, which some names have, and 0 if it can."""
+    _, b, x, a, z = window
+    own = _script(x)
+    if own:
+        if own != "latin" and x not in LOOK_LATIN and ("latin" in (_script(b), own == "cyrillic" and z.islower() and _script(a))):
+            return 2
+        return int(b.islower() and x.isupper())
+    if not _script(b):
+        return 0
+    if x == "„" or "\u2500" <= x <= "\u259f" and a != x:
+        return 2
+    sign = unicodedata.category(x)[0] in "SN" and x not in IN_WORDS or x in NOT_IN_WORDS
+    return 2 * (sign and bool(_script(a) or unicodedata.category(a)[0] == "S"))
+
+
+def _fits(reading: str) -> bool:
+    """Whether the middle of a re-read window is a letter that goes with its neighbours."""
+    _, b, x, a, _ = reading
+    beside = {_script(b), _script(a)} - {""}
+    if not beside or beside != {_script(x)}:
+        return False
+    return not (b.islower() and x.isupper() or b.isupper() and (a.isupper() and x.islower() or a.islower() and x.isupper()))
+
+
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each distinct window, what it would have been for each pair of encodings: alike for its middle character only
-    and for all of it. A letter read for a letter is compared with two neighbours on either side, else with one."""
+    and for all of it. A letter read for a letter is compared with two neighbours on either side, else with one. ``odd``
+    tells whether the reading mends a middle that cannot stand in its word, ``rank`` is smaller for likelier encodings."""
     pairs = [(_bytes_of(r), w) for r in READ_AS for w in WRITTEN_IN if r != w]
 
     @lru_cache(None)
@@ -148,9 +194,9 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None
 
     for batch in batches:
-        rows: set[tuple[str, str, str, str]] = set()
+        rows: dict[tuple[str, str, str, str, int], int] = {}
         for window in batch.column("window").to_pylist():
-            mid = window[2]
+            mid, odd = window[2], _odd(window)
             for k in range(len(pairs)):
                 new = other(mid, k)
                 if new is None or new == mid or not ORDINARY.match(new):
@@ -158,23 +204,30 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut_to = slice(0, 5) if new.isalpha() and mid.isalpha() else slice(1, 4)
                 whole = [other(x, k) or x for x in window]
                 for reading in (window[:2] + new + window[3:], "".join(whole)):
-                    rows.add((window, window[cut_to].lower(), reading[cut_to].lower(), new))
-        columns = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["window", "own", "reading", "mid"])
+                    rows.setdefault((window, window[cut_to].lower(), reading[cut_to].lower(), new, odd if odd and _fits(reading) else 0), k)
+        columns = [*zip(*rows)] or [[], [], [], [], []]
+        types = [pa.string()] * 4 + [pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(rows.values())], types)], names=["window", "own", "reading", "mid", "odd", "rank"])
 
 
 def spoiled_windows(texts: DataFrame) -> DataFrame:
-    """``window, mid``: the windows that are far rarer than one of their readings, with the middle character of the most
-    frequent reading. ``texts`` has ``text``, a row per record; rows that are null or ASCII hold no window."""
-    windows = texts.select(F.explode(F.array_distinct(_windows(F.col("text")))).alias("window"))
-    counts = cut(windows.groupBy("window").agg(F.count("*").alias("n")))
+    """``window, mid``: the windows that are far rarer than one of their readings, or that hold what no word does and a
+    reading mends, with the middle character of the most frequent reading; null if no text holds any of several.
+    ``texts`` has ``text`` and ``n``, the records that hold it, a row per distinct text; rows that are null or ASCII
+    hold no window."""
+    windows = texts.select("n", F.explode(F.array_distinct(_windows(F.col("text")))).alias("window"))
+    counts = cut(windows.groupBy("window").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
     both = F.explode(F.array(F.lower("window"), F.lower(F.substring("window", 2, 3)))).alias("key")
-    keys = cut(counts.select(both, "n").groupBy("key").agg(F.sum("n").alias("n")))
-    readings = counts.select("window").mapInArrow(_readings, "window string, own string, reading string, mid string")
-    known = readings.join(keys.select(F.col("key").alias("reading"), F.col("n").alias("new")), "reading")
-    old = known.join(keys.select(F.col("key").alias("own"), F.col("n").alias("old")), "own")
-    better = old.filter((F.col("new") >= MIN_RECORDS) & (F.col("new") >= MIN_TIMES * F.col("old")))
-    return better.groupBy("window").agg(F.max(F.struct("new", "mid"))["mid"].alias("mid"))
+    keys = cut(counts.select(both, "n", "texts").groupBy("key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")))
+    readings = counts.select("window").mapInArrow(_readings, "window string, own string, reading string, mid string, odd int, rank int")
+    known = readings.join(keys.select(F.col("key").alias("reading"), F.col("n").alias("new"), F.col("texts").alias("new_texts")), "reading", "left")
+    known = known.filter("new is not null or odd = 2").fillna(0, ["new", "new_texts"])
+    old = known.join(keys.select(F.col("key").alias("own"), F.col("n").alias("old"), F.col("texts").alias("old_texts")), "own")
+    far = lambda new, old, least, times: (F.col(new) >= least) & (F.col(new) >= times * F.col(old))
+    counted = far("new", "old", MIN_RECORDS, MIN_TIMES) | far("new_texts", "old_texts", MIN_RECORDS, MIN_TIMES)
+    better = old.filter(counted | (F.col("odd") == 2) | (F.col("odd") == 1) & far("new_texts", "old_texts", FLIP_TEXTS, FLIP_TIMES))
+    best = better.groupBy("window").agg(F.max(F.struct("new", -F.col("rank"), "mid")).alias("best"), F.min("mid").alias("lo"), F.max("mid").alias("hi"))
+    return best.select("window", F.when((F.col("best.new") > 0) | (F.col("lo") == F.col("hi")), F.col("best.mid")).alias("mid"))
 
 
 def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +236,7 @@ def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, pairs in zip(batch.column("base").to_pylist(), pairs_of):
             if pairs:
                 mids, padded = {p["window"]: p["mid"] for p in pairs}, f"  {text}  "
-                text = "".join(mids.get(padded[k : k + 5], text[k]) for k in range(len(text)))
+                text = "".join(mids.get(padded[k : k + 5]) or text[k] for k in range(len(text)))
             out.append(text)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "text", "restored")), pa.array(out, pa.string()), pa.array([bool(p) for p in pairs_of])], names=["id", "text", "restored", "reread", "single"])
 
@@ -196,7 +249,8 @@ def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").rlike("[^\\x00-\\x7f]"))
     kind = rows.schema["id"].dataType.simpleString()
     decoded = cut(rows.mapInArrow(_restore_all, f"id {kind}, text string, restored string").withColumn("row", F.monotonically_increasing_id()))
-    spoiled = broadcast_if_small(cut(spoiled_windows(decoded.select(F.coalesce("restored", "text").alias("text")))))
+    texts = decoded.groupBy(F.coalesce("restored", "text").alias("text")).agg(F.count("*").alias("n"))
+    spoiled = broadcast_if_small(cut(spoiled_windows(texts)))
     base = F.coalesce("restored", "text")
     held = decoded.select("row", F.explode(F.array_distinct(_windows(base))).alias("window")).join(spoiled, "window")
     pairs = held.groupBy("row").agg(F.collect_list(F.struct("window", "mid")).alias("pairs"))

@@ -46,6 +46,18 @@ def test_repaired_records(spark):
     assert mojibake.repaired(df.limit(0), "rid", "txt").count() == 0
 
 
+def test_rare_and_hot_single_bytes(spark):
+    """A spoiled word whose original is nowhere else, and one spelling spoiled in as many records as it is right."""
+    right = [f"la canción {k}" for k in range(20)]
+    proper = ["µTorrent", "Ωmega", "col·lecció", "CaféÉtoile", "Сafé", "Niño’s", "T€xt", "„so“ ja", "9 µm", "don´t", "Łódź"]
+    spoilt = {"A Irmπ perdida": "A Irmã perdida", "pi±ata": None, "йtй": "été"}
+    rows = [*right, "a Irmã perdida", *["la canci≤n 1"] * 60, *["la canciÛn 2"] * 60, *proper, *spoilt]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "rid int, txt string")
+    found = {r["text"]: (r["restored"], r["kind"]) for r in mojibake.repaired(df, "rid", "txt").collect()}
+    right_again = {"la canci≤n 1": "la canción 1", "la canciÛn 2": "la canción 2", **spoilt}
+    assert found == {t: (r, "single byte") for t, r in right_again.items()}
+
+
 def reference_form(text):
     return None if text is None else unicodedata.normalize("NFC", "".join(lookalikes._pieces_of(c) for c in text))
 
