@@ -31,6 +31,11 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.pair_counts(_table(spark, sf_dir, "ratings"), "raw_user_id", "raw_item_id", MIN_TOGETHER, MIN_RATIO)
 
 
+def p3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of movies with a shared user; ``p3_pairs`` has those that are cases of ``p3_found`` only."""
+    return together.pair_counts(_table(spark, sf_dir, "ratings"), "raw_user_id", "raw_item_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pairs(spark, sf_dir).select("item_a", "item_b")
 
@@ -69,7 +74,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_pairs, p4_found, p4_repaired, p7_ids, p8_containers, p8_fill, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_all_pairs, p3_found, p3_pairs, p4_found, p4_repaired, p7_ids, p8_containers, p8_fill, p9_found, p9_forms)}
 
 _TERMS = """
 WITH v AS (SELECT 'tags.tag' AS field_name, tag_id AS id, lower(trim(tag, ' ')) AS term FROM tags
@@ -85,10 +90,17 @@ n AS (SELECT count(DISTINCT u) AS n FROM s), c AS (SELECT i, count(*) AS k FROM
 p AS (SELECT a.i AS item_a, b.i AS item_b, count(*) AS together FROM s a JOIN s b ON a.u = b.u AND a.i < b.i GROUP BY ALL HAVING count(*) >= 10)
 SELECT item_a, item_b, together, ca.k AS baskets_a, cb.k AS baskets_b, n AS baskets, together::DOUBLE * n / ca.k / cb.k AS ratio
 FROM p JOIN c ca ON ca.i = item_a JOIN c cb ON cb.i = item_b, n WHERE together * n >= 10 * ca.k * cb.k"""
+_ALL_PAIRS = """
+WITH s AS (SELECT DISTINCT raw_user_id AS u, raw_item_id AS i FROM ratings WHERE raw_user_id IS NOT NULL AND raw_item_id IS NOT NULL),
+n AS (SELECT count(DISTINCT u) AS n FROM s), c AS (SELECT i, count(*) AS k FROM s GROUP BY i),
+p AS (SELECT a.i AS item_a, b.i AS item_b, count(*) AS together FROM s a JOIN s b ON a.u = b.u AND a.i < b.i GROUP BY ALL)
+SELECT item_a, item_b, together, ca.k AS baskets_a, cb.k AS baskets_b, n AS baskets, together::DOUBLE * n / ca.k / cb.k AS ratio
+FROM p JOIN c ca ON ca.i = item_a JOIN c cb ON cb.i = item_b, n"""
 
 SQL = {
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, mark FROM m",
+    "p3_all_pairs": _ALL_PAIRS,
     "p3_found": f"SELECT item_a, item_b FROM ({_PAIRS})",
     "p3_pairs": _PAIRS,
 }

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratelathe.llm import terms, together
+from ratelathe.llm import queries, terms, together
 
 
 def test_terms_against_counting(spark):
@@ -62,3 +62,10 @@ def test_pairs_against_counting(spark, block, hot, least, ratio):
 def test_no_pairs(spark):
     assert together.pair_counts(spark.createDataFrame([], "b int, i string"), "b", "i").count() == 0
     assert together.pair_counts(spark.createDataFrame([(1, "a"), (2, "b")], "b int, i string"), "b", "i").count() == 0
+
+
+def test_query_of_all_pairs_has_no_threshold(spark, tmp_path):
+    rows = [(u, i) for u in range(20) for i in (1, 2)] + [(0, 3), (0, 4), (None, 5)]
+    spark.createDataFrame(rows, "raw_user_id int, raw_item_id int").write.parquet(f"{tmp_path}/ratings.parquet")
+    found = queries.QUERIES["p3_all_pairs"](spark, str(tmp_path)).collect()
+    assert {(r["item_a"], r["item_b"]): (r["together"], r["ratio"]) for r in found} == {(1, 2): (20, 1.0), (3, 4): (1, 20.0), **{(a, b): (1, 1.0) for a in (1, 2) for b in (3, 4)}}
