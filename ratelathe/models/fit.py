@@ -5,7 +5,8 @@ epoch joins each block of ratings with just the parameters that it touches, lets
 (``applyInPandas``), and averages what the blocks return, weighted by the steps that touched a parameter. A block holds
 a bounded number of ratings; a user with more than that is spread over several blocks, so no user is too large for a
 task. Backend ``exact`` has a single block that keeps its state over all epochs: plain sequential descent in a seeded
-order, for data that one task can hold. ``auto`` takes it for up to ``block_rows`` ratings.
+order, for data that one task can hold. It is taken on request only: ``auto`` means ``distributed`` at every size, so
+that the size of the data never chooses the initialisation or the order of the steps.
 """
 
 from __future__ import annotations
@@ -132,12 +133,11 @@ def fit(data: Ratings, config: Config, indices: Indices | None = None, block_row
         raise ValueError("no ratings to fit")
     indices = build_indices(data, config, indices)
     sizes = _sizes(config, data, indices.clusters)
-    exact = config.backend == "exact" or config.backend == "auto" and n <= block_rows
     users = _user_rows(indices, spark, data.n_users)
     clusters = indices.clusters
     user_cluster = clusters.users if clusters else None
     item_cluster = clusters.items if clusters else None
-    if exact:
+    if config.backend == "exact":
         parameters = cut(_fit_in_one_task(rows, users, user_cluster, item_cluster, config, sizes, data, mean))
     else:
         parameters = cut(initial(spark, config, sizes, data.n_users, data.n_items))

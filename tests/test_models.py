@@ -138,6 +138,15 @@ def test_one_block_is_the_sequential_descent(data):
     assert rmse(one, data) < 1.0
 
 
+def test_size_does_not_choose_the_backend(data):
+    """Small data are fitted by default as large ones are; exact is taken on request only."""
+    config = cfg.Config("biased_mf", 4, 3, 0.03, dtype="float64")
+    fitted = [{(r["part"], r["id"]): r["f"] for r in fit.fit(data, replace(config, backend=b)).parameters.collect()} for b in ("auto", "distributed", "exact")]
+    assert fitted[0].keys() == fitted[1].keys() == fitted[2].keys()
+    same = [all(np.allclose(fitted[0][k], other[k]) for k in fitted[0]) for other in fitted[1:]]
+    assert same == [True, False]
+
+
 def test_predictions(spark, data):
     model = fit.fit(data, cfg.Config("biased_mf", 2, 2, 0.02))
     pairs = spark.createDataFrame([(0, 0), (0, 0), (0, 999), (None, 1)], "user_idx int, item_idx int")
