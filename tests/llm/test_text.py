@@ -79,6 +79,15 @@ def test_forms_of_random_text(spark):
     assert {r["id"]: r["form"] for r in lookalikes.normal_forms(df, "k", "body").collect()} == {k: reference_form(t) for k, t in enumerate(texts)}
 
 
+def test_forms_of_hangul(spark):
+    rng = np.random.default_rng(3)
+    pool = [*"한국가각ᄀ하ᅡᅵᆨᇂᄒᆧᅶ́a ", "\u200b", "ﾡ", "\u1160", *map(lambda x: unicodedata.normalize("NFD", x), "한국어각힣")]
+    texts = ["".join(rng.choice(pool, 12)) for _ in range(300)] + ["한국어 영화", unicodedata.normalize("NFD", "한국어 영화")]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
+    assert {r["id"]: r["form"] for r in lookalikes.normal_forms(df, "k", "body").collect()} == {k: reference_form(t) for k, t in enumerate(texts)}
+    assert [tuple(r) for r in lookalikes.look_alikes(df.filter("k >= 300"), "k", "body").collect()] == [(300, 301)]
+
+
 def test_pairs_of_look_alikes(spark):
     rows = [(1, "Café"), (2, "Café"), (3, "Café"), (4, "CAFÉ"), (5, " "), (6, " "), (7, None), (8, "СOP"), (9, "COP"), (10, "C0P")]
     df = spark.createDataFrame(rows, "id int, t string")
