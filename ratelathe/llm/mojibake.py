@@ -21,6 +21,7 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from ratelathe.llm.lookalikes import CYRILLIC, GREEK
 from ratelathe.session import broadcast_if_small, cut
 
+#: Encodings with all letters where UTF-8 has first bytes, or many where it has others: only signs show a span.
+SIGNS_SHOW = ("koi8-r", "cp866", "cp1253")
 #: Encodings that text may have been read in by mistake, the likelier first; single-byte ones that it may have been written in.
-READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "iso8859-2", "cp850", "cp852")
+READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "iso8859-2", "cp850", "cp852", *SIGNS_SHOW)
 WRITTEN_IN = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866")
 #: Characters of ordinary writing, as ranges.
 ORDINARY = re.compile("[\t\n -~\u00a0-\u017f\u0218-\u021bΑ-ώЁЄІЇЎ-яёєіїўҐґ\u1e80-\u1e85\u1ef2\u1ef3\u2010-\u2026‰‹›€№™\u3000-\u30ff\u4e00-\u9fff\uff01-\uff60\uffe0-\uffe6\U0001f300-\U0001f6ff]")
@@ -88,11 +91,42 @@ def _span_counts(seen: str, read: str, before: str, after: str, encoding: str) -
     return encoding in ("cp1252", "latin-1") and (after.isalpha() or seen[1:].isalpha())
 
 
+@lru_cache(None)
+def _block(x: str) -> str:
+    """The script of an assigned letter, mark, sign or number, by its name; empty for any other character."""
+    return unicodedata.name(x, "").split("-")[0].split(" ")[0] if unicodedata.category(x)[0] in "LMNPS" else ""
+
+
+def _writing_in(text: str, at: int, read: str, encoding: str) -> list[tuple[int, int, str]]:
+    """The parts of a well-formed span from ``at`` that decode to writing: ordinary characters, and any others that are
+    in it with another one of their script, that are Latin letters, signs outside the first plane or marks on a letter,
+    or that are the bytes of text spoiled twice."""
+    scripts = Counter(_block(x) for x in read)
+    signs = lambda seen: any(not y.isalnum() and not y.isspace() and y not in FOLLOWS_LETTER for y in seen)
+    whole = text[at : at + len(read.encode())]
+    flips = len(read) > 1 and any(x.islower() and y.isupper() for x, y in zip(whole, whole[1:]))
+    shows = encoding not in SIGNS_SHOW or flips or signs(whole)
+    parts, before = [], text[at - 1 : at]
+    for x in read:
+        n = len(x.encode())
+        seen = text[at : at + n]
+        script = _block(x)
+        other = script and (scripts[script] > 1 or script == "LATIN" and (n > 2 or signs(seen)) or n > 3 or unicodedata.combining(x) and _script(before) == "latin" and signs(seen))
+        joiner = x in "\u200c\u200d" and parts and parts[-1][1] == at
+        twice = "\x80" <= x <= "\x9f" and parts and parts[-1][1] == at and ("Â" <= before <= "ô" or "\x80" <= before <= "\xbf")
+        if shows and (ORDINARY.match(x) or other or joiner or twice):
+            if parts and parts[-1][1] == at:
+                parts[-1] = (parts[-1][0], at + n, parts[-1][2] + x)
+            else:
+                parts.append((at, at + n, x))
+        at, before = at + n, x
+    return parts
+
+
 def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
     """``text`` with its spoiled spans decoded, and the number of characters in them."""
     raw = codecs.charmap_encode(text, "replace", _charmap(encoding))[0]
-    spans = [(m.start(), m.end(), m.group().decode()) for m in UTF8.finditer(raw)]
-    ordinary = [x for x in spans if all(map(ORDINARY.match, x[2]))]
+    ordinary = [x for m in UTF8.finditer(raw) for x in _writing_in(text, m.start(), m.group().decode(), encoding)]
     # One span that counts speaks for the others in the text.
     if not any(_span_counts(text[a:z], read, text[a - 1 : a], text[z : z + 1], encoding) for a, z, read in ordinary):
         ordinary = []
@@ -168,12 +202,14 @@ def _odd(window: str) -> int:
     return 2 * (sign and bool(_script(a) or unicodedata.category(a)[0] == "S"))
 
 
-def _fits(reading: str) -> bool:
-    """Whether the middle of a re-read window is a letter that goes with its neighbours."""
+def _fits(reading: str, was: str) -> bool:
+    """Whether the middle of a re-read window is a letter that goes with its neighbours; a first letter keeps its case."""
     _, b, x, a, _ = reading
     beside = {_script(b), _script(a)} - {""}
     if not beside or beside != {_script(x)}:
         return False
+    if not _script(b) and was.isalpha() and was.islower() != x.islower():
+        return False
     return not (b.islower() and x.isupper() or b.isupper() and (a.isupper() and x.islower() or a.islower() and x.isupper()))
 
 
@@ -204,7 +240,7 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut_to = slice(0, 5) if new.isalpha() and mid.isalpha() else slice(1, 4)
                 whole = [other(x, k) or x for x in window]
                 for reading in (window[:2] + new + window[3:], "".join(whole)):
-                    rows.setdefault((window, window[cut_to].lower(), reading[cut_to].lower(), new, odd if odd and _fits(reading) else 0), k)
+                    rows.setdefault((window, window[cut_to].lower(), reading[cut_to].lower(), new, odd if odd and _fits(reading, mid) else 0), k)
         columns = [*zip(*rows)] or [[], [], [], [], []]
         types = [pa.string()] * 4 + [pa.int32()] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(rows.values())], types)], names=["window", "own", "reading", "mid", "odd", "rank"])

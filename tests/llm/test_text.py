@@ -32,6 +32,17 @@ def test_single_signs(text, encoding):
     assert mojibake.restore(spoil(text, encoding)) == text
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "cp437", "koi8-r", "cp866"])
+@pytest.mark.parametrize("text", ["한국어 영화", "مرحبا بالعالم", "שלום עולם", "สวัสดีชาวโลก", "नमस्ते दुनिया", "Việt Nam ơi", "ok 🤣🥰", "größer Café déjà", "поздний финал"])
+def test_scripts_and_encodings(text, encoding):
+    assert mojibake.restore(spoil(text, encoding)) == text
+
+
+@pytest.mark.parametrize("text", ["PŘÍBĚH: POSLEDNÍ ŘÍŠE", "voilà\xa0« ça\xa0»", "работа и её сад", "ЁЛКА и моё «всё»", "Νέα· «ΑΘΉΝΑ»", "한국어", "שלום", "Việt Nam ơi", "हिन्दी", "🤣 ok"])
+def test_proper_scripts_stay(text):
+    assert mojibake.restore(text) is None
+
+
 def test_spoilt_twice_and_in_part():
     assert mojibake.restore(spoil(spoil("Canción", "cp1252"), "cp1252")) == "Canción"
     assert mojibake.restore("año y niÃ±o") == "año y niño"
