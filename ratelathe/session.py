@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast, with rows of at most about 100 bytes (100 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Bytes that a value of a type without a length of its own takes at most.
+VALUE_BYTES = 16
 
 
 def local_session(name: str = "ratelathe", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -24,6 +27,9 @@ def local_session(name: str = "ratelathe", cpus: int | None = None, **conf: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
+        # What cut() stores is compressed, and deleted when nothing refers to it any more.
+        "spark.checkpoint.compress": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     spark = SparkSession.builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,7 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows; otherwise ``df`` itself,
-    which Spark then joins by shuffling with its own skew handling. Pass something cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes; lists and maps by their text."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + VALUE_BYTES
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + VALUE_BYTES
+    return F.lit(VALUE_BYTES)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if counting proves that it has at most ``rows`` rows and about ``size`` bytes;
+    otherwise ``df`` itself, which Spark then joins by shuffling with its own skew handling. Pass something cheap to count."""
+    row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
