@@ -1,12 +1,15 @@
 """Fitting a model to ratings.
 
-Parameters are rows of one table: ``part`` (bu, bi, p, q, x, y, pC, qC, xC, yC), ``id`` and ``f`` (array of double). An
-epoch joins each block of ratings with just the parameters that it touches, lets the block take its steps in one task
-(``applyInPandas``), and averages what the blocks return, weighted by the steps that touched a parameter. A block holds
-a bounded number of ratings; a user with more than that is spread over several blocks, so no user is too large for a
-task. Backend ``exact`` has a single block that keeps its state over all epochs: plain sequential descent in a seeded
-order, for data that one task can hold. It is taken on request only: ``auto`` means ``distributed`` at every size, so
-that the size of the data never chooses the initialisation or the order of the steps.
+Parameters are rows of one table: ``part`` (bu, bi, p, q, x, y, pC, qC, xC, yC), ``id`` and ``f`` (array of double). The
+ratings are dealt to blocks of a bounded number of rows; a user with more than a part of a block is spread over several,
+so no user is too large for a task. A block's ratings and user lists are stored once, a block a partition, and do not
+move again. An epoch sends each block just the parameters that it touches, lets it take its steps in one task
+(``lane_epoch`` in ``applyInArrow``), and adds up what the blocks have changed, damped by how far they would have gone
+together (``kernel``): parameters that few ratings touch move as in one block, those that all blocks pull at are averaged.
+
+Backend ``exact`` has a single block that keeps its state over all epochs: plain sequential descent in a seeded order,
+for data that one task can hold. It is taken on request only: ``auto`` means ``distributed`` at every size, so that the
+size of the data never chooses the initialisation or the order of the steps.
 """
 
 from __future__ import annotations
@@ -15,19 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelathe.models.config import Config
-from ratelathe.models.kernel import EMPTY, State, UserLists, epoch
+from ratelathe.models.kernel import EMPTY, Histories, State, UserLists, epoch, lane_epoch
 from ratelathe.operators import histories as index
 from ratelathe.operators.clusters import Clusters
 from ratelathe.operators.views import Ratings
-from ratelathe.session import cut
+from ratelathe.session import broadcast_if_small, cut
 
-#: Ratings in a block, on average.
-BLOCK_ROWS = 500_000
+#: Ratings in a block, on average; a user with more than a block's share of ratings is spread over blocks.
+BLOCK_ROWS, USER_SHARE = 50_000, 4
 PARAMETERS = "part string, id int, f array<double>"
+#: Labels looked through, per block, for one that Spark's hash puts into a partition of its own.
+LABELS = 40
 
 
 @dataclass(frozen=True)
@@ -83,20 +89,21 @@ def _sizes(config: Config, data: Ratings, clusters: Clusters | None) -> dict[str
     return {k: every[k] for k in config.parts}
 
 
-def initial(spark, config: Config, sizes: dict[str, int], n_users: int, n_items: int) -> DataFrame:  # noqa: ANN001
-    """Biases 0 and seeded normal vectors, made where they are needed from the seed, the part and the id."""
-    width, seed, std = config.latent_dim, config.seed, config.init_std
+def _uniform(salt: Column) -> Column:
+    """A number in (0, 1) from a hash of the seed, the part, the id, the place and ``salt``."""
+    return (F.shiftrightunsigned(salt, 11) + 0.5) / float(1 << 53)
 
-    def draw(batches):  # noqa: ANN001, ANN202
-        for ids in batches:
-            rows = [np.random.default_rng([seed, k, int(i)]).normal(0.0, std, width).tolist() if k >= 0 else [0.0] for k, i in zip(ids["k"], ids["id"])]
-            yield pd.DataFrame({"part": ids["part"], "id": ids["id"].astype("int32"), "f": rows})
 
+def initial(spark, config: Config, sizes: dict[str, int], n_users: int, n_items: int) -> DataFrame:  # noqa: ANN001
+    """Biases 0 and normal vectors, made where they are needed from the seed, the part and the id (Box-Muller)."""
     found = None
-    for k, (part, n) in enumerate([("bu", n_users), ("bi", n_items), *sizes.items()]):
-        ids = spark.range(n).select(F.col("id").cast("int").alias("id"), F.lit(part).alias("part"), F.lit(k - 2).alias("k"))
-        found = ids if found is None else found.unionByName(ids)
-    return found.mapInPandas(draw, PARAMETERS)
+    for part, n in [("bu", n_users), ("bi", n_items), *sizes.items()]:
+        key = lambda k, which: F.xxhash64(F.lit(config.seed), F.lit(part), "id", k, F.lit(which))  # noqa: B023, E731
+        normal = lambda k: config.init_std * F.sqrt(-2 * F.log(_uniform(key(k, 1)))) * F.cos(2 * np.pi * _uniform(key(k, 2)))  # noqa: B023, E731
+        f = F.transform(F.sequence(F.lit(1), F.lit(config.latent_dim)), normal) if part in sizes else F.array(F.lit(0.0))
+        rows = spark.range(n).select(F.lit(part).alias("part"), F.col("id").cast("int").alias("id")).withColumn("f", f)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def _lists(frame: pd.DataFrame, n_users: int, explicit: bool) -> list[UserLists]:
@@ -144,8 +151,10 @@ def fit(data: Ratings, config: Config, indices: Indices | None = None, block_row
         blocks = -(-n // block_rows)
         placed = cut(_blocks(rows, blocks, block_rows))
         touched = cut(_touched(placed, users, user_cluster, item_cluster, config.parts))
+        held = cut(_held(placed, users, user_cluster, item_cluster, config.parts, blocks))
+        n_clusters = {k: n for k, n in sizes.items() if "C" in k}
         for number in range(config.epochs):
-            parameters = cut(_average(parameters, _block_epoch(placed, users, user_cluster, item_cluster, touched, parameters, config, mean, number)))
+            parameters = cut(_settled(parameters, _block_epoch(held, touched, parameters, blocks, n_clusters, config, mean, number)))
     return Model(config, parameters, mean, data.rating_min, data.rating_max, data.n_users, data.n_items, indices)
 
 
@@ -187,94 +196,169 @@ def _fit_in_one_task(rows, users, user_cluster, item_cluster, config: Config, si
 
 
 def _blocks(rows: DataFrame, blocks: int, block_rows: int) -> DataFrame:
-    """``rows`` with ``block``: a user's rows together, but those of a user with more than a quarter of a block spread."""
-    large = rows.groupBy("user_idx").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows // 4)
-    pieces = large.select("user_idx", F.ceil(F.col("n") / (block_rows // 4)).cast("int").alias("pieces"))
-    # At most four users a block.
-    spread = rows.join(F.broadcast(pieces), "user_idx", "left")
+    """``rows`` with ``block``: a user's rows together, but those of a user with more than a share of a block spread.
+    Blocks are named by numbers that Spark's hash puts into different ones of as many partitions."""
+    limit = max(1, block_rows // USER_SHARE)
+    large = rows.groupBy("user_idx").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    pieces = large.select("user_idx", F.ceil(F.col("n") / limit).cast("int").alias("pieces"))
+    # As many users as there are shares of a block in all rows, at most.
+    spread = rows.join(broadcast_if_small(cut(pieces)), "user_idx", "left")
     piece = F.coalesce(F.pmod(F.hash("row_id"), F.col("pieces")), F.lit(0))
-    return spread.withColumn("block", F.pmod(F.hash("user_idx", piece), F.lit(blocks))).drop("pieces")
+    number = F.pmod(F.hash(F.lit("block"), "user_idx", piece), F.lit(blocks))
+    labels = rows.sparkSession.range(blocks * LABELS).select(F.col("id").cast("int").alias("label"))
+    labels = labels.groupBy(F.pmod(F.hash("label"), F.lit(blocks)).alias("number")).agg(F.min("label").alias("block"))
+    return spread.withColumn("number", number).join(broadcast_if_small(cut(labels)), "number").drop("pieces", "number")
 
 
 def _touched(placed, users, user_cluster, item_cluster, parts: list[str]) -> DataFrame:  # noqa: ANN001
-    """``block, part, id``: the parameters each block reads, and ``steps``, how many of its ratings touch them."""
-    by_user = placed.groupBy("block", "user_idx").agg(F.count("*").alias("steps"))
-    by_item = placed.groupBy("block", "item_idx").agg(F.count("*").alias("steps"))
-    named = lambda df, names, key: df.select("block", F.explode(F.array(*map(F.lit, names))).alias("part"), F.col(key).alias("id"), "steps")
-    found = named(by_user, ["bu"] + ["p"] * ("p" in parts), "user_idx").unionByName(named(by_item, ["bi", "q"], "item_idx"))
+    """``block, part, id``: the parameters that each block reads."""
+    by_user, by_item = placed.select("block", "user_idx").distinct(), placed.select("block", "item_idx").distinct()
+    named = lambda df, names, key: df.select("block", F.explode(F.array(*map(F.lit, names))).alias("part"), F.col(key).alias("id"))
+    if "y" in parts:
+        listed = by_user.join(users.select("user_idx", "items"), "user_idx").select("block", F.explode("items").alias("item_idx")).distinct()
+        found = named(listed, [k for k in ("x", "y") if k in parts], "item_idx")
+        by_item = by_item.unionByName(listed).distinct()
+    found_items = named(by_item, ["bi", "q"], "item_idx")
+    every = named(by_user, ["bu"] + ["p"] * ("p" in parts), "user_idx").unionByName(found_items)
     if "y" in parts:
-        held = by_user.join(users.select("user_idx", "items"), "user_idx").select("block", F.explode("items").alias("item_idx"), "steps")
-        held = held.groupBy("block", "item_idx").agg(F.sum("steps").alias("steps"))
-        found = found.unionByName(named(held, [k for k in ("x", "y") if k in parts], "item_idx"))
-        # Biases and clusters of history items are read, even where no rating of the block changes them.
-        found = found.unionByName(named(held.withColumn("steps", F.lit(0).cast("long")), ["bi"], "item_idx"))
+        every = every.unionByName(found)
     if user_cluster is not None:
-        of_user = by_user.join(user_cluster, "user_idx").groupBy("block", "cluster_id").agg(F.sum("steps").alias("steps"))
-        of_item = by_item.select("block", "item_idx", "steps").unionByName(held).join(item_cluster, "item_idx").groupBy("block", "cluster_id").agg(F.sum("steps").alias("steps"))
-        found = found.unionByName(named(of_user, ["pC"], "cluster_id")).unionByName(named(of_item, [k for k in ("qC", "xC", "yC") if k in parts], "cluster_id"))
-    return found.groupBy("block", "part", "id").agg(F.sum("steps").alias("steps"))
+        of_user = by_user.join(user_cluster, "user_idx").select("block", "cluster_id").distinct()
+        of_item = by_item.join(item_cluster, "item_idx").select("block", "cluster_id").distinct()
+        every = every.unionByName(named(of_user, ["pC"], "cluster_id")).unionByName(named(of_item, [k for k in ("qC", "xC", "yC") if k in parts], "cluster_id"))
+    return every
 
 
-def _block_epoch(placed, users, user_cluster, item_cluster, touched, parameters, config: Config, mean: float, number: int) -> DataFrame:  # noqa: ANN001
-    explicit = "x" in config.parts
-    values = touched.join(parameters, ["part", "id"]).withColumn("kind", F.lit("v"))
-    people = placed.select("block", "user_idx").distinct().join(users, "user_idx")
+#: What a block keeps over all epochs, as NumPy arrays in bytes: the sorted ids of its users and items; users, items (as
+#: places among these) and numbers of its ratings; where each user's history ends, its items and ratings; clusters.
+KEPT = {"user_ids": "int32", "item_ids": "int32", "users": "int32", "items": "int32", "rating": "float64", "ends": "int64", "history": "int32", "told": "float64", "of_user": "int32", "of_item": "int32"}
+
+
+def _held(placed, users, user_cluster, item_cluster, parts: list[str], blocks: int) -> DataFrame:  # noqa: ANN001
+    """One row a block with what it keeps."""
+    people = placed.select("block", "user_idx").distinct().join(users, "user_idx").select("block", "user_idx", "items", "ratings")
     if user_cluster is not None:
         people = people.join(user_cluster, "user_idx", "left")
-    people = people.withColumn("kind", F.lit("u"))
-    told = values.unionByName(people, allowMissingColumns=True)
+    found = placed.withColumn("kind", F.lit("r")).unionByName(people.withColumn("kind", F.lit("u")), allowMissingColumns=True)
     if item_cluster is not None:
-        things = touched.filter("part in ('bi', 'y')").select("block", F.col("id").alias("item_idx")).distinct().join(item_cluster, "item_idx").withColumn("kind", F.lit("i"))
-        told = told.unionByName(things, allowMissingColumns=True)
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("row_id")
-        # Columns that only one kind of row has are nullable and came as floats.
-        held = right[right["kind"] == "v"].astype({"id": "int64", "steps": "int64"})
-        mine = right[right["kind"] == "u"].astype({"user_idx": "int64"})
-        # Ids become places in this block's arrays: users and items each by their sorted ids.
-        user_ids = np.sort(held.loc[held["part"] == "bu", "id"].to_numpy())
-        item_ids = np.sort(held.loc[held["part"] == "bi", "id"].to_numpy())
-        place = lambda ids, x: np.searchsorted(ids, np.asarray(x, np.int64))
-        state, keys = State(mean, config.alpha), {}
-        for part, rows in held.groupby("part"):
-            rows = rows.sort_values("id")
-            matrix = np.array(rows["f"].tolist())
-            ids = rows["id"].to_numpy()
-            if part in ("q", "x", "y"):
-                full = np.zeros((len(item_ids), matrix.shape[1]))
-                full[place(item_ids, ids)] = matrix
-                matrix = full
-            elif part in ("pC", "qC", "xC", "yC"):
-                full = np.zeros((int(ids.max()) + 1, matrix.shape[1]))
-                full[ids] = matrix
-                matrix = full
-            state.values[part] = matrix[:, 0].copy() if part in ("bu", "bi") else matrix
-            keys[part] = (ids, rows["steps"].to_numpy())
-        mine = mine.assign(at=place(user_ids, mine["user_idx"]), items=[place(item_ids, x) for x in mine["items"]])
-        of_user, of_item = np.zeros(len(user_ids), np.int64), np.zeros(len(item_ids), np.int64)
-        if "cluster_id" in right.columns:
-            of_user[mine["at"]] = mine["cluster_id"]
-            things = right[right["kind"] == "i"].astype({"item_idx": "int64"})
-            of_item[place(item_ids, things["item_idx"])] = things["cluster_id"]
-        order = np.random.default_rng([config.seed, number, int(key[0])]).permutation(len(left))
+        listed = people.select("block", F.explode("items").alias("item_idx")) if "y" in parts else None
+        things = placed.select("block", "item_idx")
+        things = (things.unionByName(listed) if listed is not None else things).distinct().join(item_cluster, "item_idx").withColumn("kind", F.lit("i"))
+        found = found.unionByName(things, allowMissingColumns=True)
+    clustered = item_cluster is not None
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        kind = lambda name: table.filter(pc.equal(table["kind"], name))
+        rated, people = kind("r").sort_by("row_id"), kind("u").sort_by("user_idx")
+        sizes, listed = _flat(people["items"], np.int32)
+        rated_items, user_ids = rated["item_idx"].to_numpy(), people["user_idx"].to_numpy()
+        item_ids = np.union1d(rated_items, listed)
+        kept = {
+            "user_ids": user_ids,
+            "item_ids": item_ids,
+            "users": np.searchsorted(user_ids, rated["user_idx"].to_numpy()),
+            "items": np.searchsorted(item_ids, rated_items),
+            "rating": rated["rating"].to_numpy(),
+            "ends": np.concatenate([[0], np.cumsum(sizes)]),
+            "history": np.searchsorted(item_ids, listed),
+            "told": _flat(people["ratings"], float)[1],
+            "of_user": people["cluster_id"].to_numpy() if clustered else [],
+            "of_item": kind("i").sort_by("item_idx")["cluster_id"].to_numpy() if clustered else [],
+        }
+        packed = [pa.array([np.asarray(kept[name]).astype(type_).tobytes()], pa.binary()) for name, type_ in KEPT.items()]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *packed], names=["block", *KEPT])
+
+    return found.repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block int, " + ", ".join(f"{name} binary" for name in KEPT))
+
+
+def _flat(lists: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the lists of a column and their values one behind the other."""
+    column = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    return sizes, column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _block_epoch(held, touched, parameters, blocks: int, n_clusters: dict[str, int], config: Config, mean: float, number: int) -> DataFrame:  # noqa: ANN001
+    """``part, id, f`` (the change) and ``pull`` of each parameter that a block has moved."""
+    explicit, listed = "x" in config.parts, "y" in config.parts
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        kept = {name: np.frombuffer(left[name][0].as_buffer(), kind) for name, kind in KEPT.items()}
+        user_ids, item_ids = kept["user_ids"], kept["item_ids"]
+        state, at, ids = State(mean, config.alpha), {}, {}
+        for part in right["part"].unique().to_pylist():
+            table = right.filter(pc.equal(right["part"], part)).sort_by("id")
+            ids[part], matrix = table["id"].to_numpy(), _flat(table["f"], float)[1].reshape(len(table), -1)
+            # Ids become places in this block's arrays; those of clusters are places already.
+            names = user_ids if part in ("bu", "p") else item_ids if part in ("bi", "q", "x", "y") else None
+            at[part] = np.searchsorted(names, ids[part]) if names is not None else ids[part]
+            full = np.zeros((len(names) if names is not None else n_clusters[part], matrix.shape[1]))
+            full[at[part]] = matrix
+            state.values[part] = full[:, 0] if part in ("bu", "bi") else full
+        histories = Histories(kept["ends"], kept["history"], kept["told"] if explicit else None) if listed else None
+        of_user, of_item = (kept["of_user"], kept["of_item"]) if n_clusters else (None, None)
         penalty = {"b": config.penalty("b")} | {k: config.penalty(k) for k in config.parts}
-        epoch(state, order, place(user_ids, left["user_idx"]), place(item_ids, left["item_idx"]), left["rating"].to_numpy(), _lists(mine, len(user_ids), explicit), of_user, of_item, config.learning_rate, penalty)
+        before = {part: m.copy() for part, m in state.values.items()}
+        rng = np.random.default_rng([config.seed, number, int(key[0].as_py())])
+        pulls = lane_epoch(state, kept["users"], kept["items"], kept["rating"], histories, of_user, of_item, config.learning_rate, penalty, rng)
         out = []
-        for part, (ids, steps) in keys.items():
-            at = place(item_ids, ids) if part in ("q", "x", "y", "bi") else place(user_ids, ids) if part in ("bu", "p") else ids
-            out.append(pd.DataFrame({"part": part, "id": ids.astype(np.int32), "f": [np.atleast_1d(r).tolist() for r in state.values[part][at]], "steps": steps}))
-        return pd.concat(out)
-
-    told = told.select(*[F.col(c).alias(c) for c in told.columns])  # columns of its own, for the cogroup
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, PARAMETERS + ", steps bigint")
-
-
-def _average(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Each parameter's mean over the blocks, weighted by their steps; one that no step touched stays as it was."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    mean = Summarizer.mean(array_to_vector(F.col("f")), F.col("steps").cast("double"))
-    changed = after.filter("steps > 0").groupBy("part", "id").agg(vector_to_array(mean).alias("new"))
-    return before.join(changed, ["part", "id"], "left").select("part", "id", F.coalesce("new", "f").alias("f"))
+        for part, where in at.items():
+            moved = pulls[part][where] > 0
+            change = np.atleast_2d((state.values[part] - before[part])[where[moved]].T).T
+            offsets = np.arange(len(change) + 1, dtype=np.int32) * change.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(change).ravel()))
+            out.append(pa.table([pa.array([part] * len(change), pa.string()), pa.array(ids[part][moved], pa.int32()), lists, pa.array(pulls[part][where[moved]])], names=["part", "id", "f", "pull"]))
+        return pa.concat_tables(out)
+
+    # Columns of its own, for the cogroup; as many partitions as the blocks are stored in, which then stay where they are.
+    values = touched.join(parameters, ["part", "id"]).select(*[F.col(c).alias(c) for c in ("block", "part", "id", "f")]).repartition(blocks, "block")
+    return held.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, PARAMETERS + ", pull double")
+
+
+def _damped(table: pa.Table) -> pa.RecordBatch:
+    """The new value of each parameter of one part, from neighbouring rows: its old one (pull below 0) and its changes."""
+    ids, pull = table["id"].to_numpy(), table["pull"].to_numpy()
+    values = _flat(table["f"], float)[1].reshape(len(ids), -1)
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    old = pull < 0
+    k = np.where(old, 0.0, pull)
+    together, apart = np.add.reduceat(k, starts), np.add.reduceat(-np.expm1(-k), starts)
+    scale = np.divide(-np.expm1(-together), apart, out=np.ones_like(apart), where=apart > 0)
+    factor = np.where(old, 1.0, np.repeat(scale, np.diff(np.append(starts, len(ids)))))
+    new = np.add.reduceat(values * factor[:, None], starts, axis=0)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * new.shape[1]), pa.array(new.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array([table["part"][0].as_py()] * len(new), pa.string()), pa.array(ids[starts], pa.int32()), lists], names=["part", "id", "f"])
+
+
+def _settled(before: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each parameter with the blocks' changes added, damped by their pulls; one that no block moved stays as it was. A
+    parameter has a row a block at most, and rows are taken in order, a batch at a time."""
+    rows = before.withColumn("pull", F.lit(-1.0)).unionByName(changes)
+    ordered = rows.repartition("part", "id").sortWithinPartitions("part", "id")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([waiting, table]) if waiting is not None else table
+            codes = table["part"].combine_chunks().dictionary_encode().indices.to_numpy()
+            parts = np.flatnonzero(np.diff(codes, prepend=-1, append=-1))
+            for lo, hi in zip(parts[:-1].tolist(), parts[1:].tolist()):
+                if hi == len(table):
+                    # The last parameter may go on in the next batch.
+                    ids = table["id"].to_numpy()[lo:]
+                    hi = lo + int(np.searchsorted(ids, ids[-1]))
+                    waiting = table.slice(hi)
+                if hi > lo:
+                    yield _damped(table.slice(lo, hi - lo))
+        if waiting is not None:
+            yield _damped(waiting)
+
+    return ordered.mapInArrow(run, PARAMETERS)

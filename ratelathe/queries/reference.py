@@ -23,6 +23,8 @@ from ratelathe.plans import reporting, studies
 from ratelathe.session import cut
 
 SEED, USER_CLUSTERS, ITEM_CLUSTERS, DIM, ALPHA = 7, 5, 6, 3, 0.25
+#: Dimensions and epochs of a production fit.
+FIT_DIM, FIT_EPOCHS = 50, 20
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -342,7 +344,7 @@ def fitted(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     d = data(spark, sf_dir)
     s = cut(splits.split_rows(d.rows, 0.8, 0.1, SEED))
     train = splits.as_parts(s, d)["train"]
-    config = cfg.Config(name, 8, 2, 0.01, dtype="float64", seed=SEED, alpha=ALPHA if cfg.requirements(name).clusters else 0.0)
+    config = cfg.Config(name, FIT_DIM, FIT_EPOCHS, 0.01, dtype="float64", seed=SEED, alpha=ALPHA if cfg.requirements(name).clusters else 0.0)
     found = cl.induce(train, cfg.induction_config(config), USER_CLUSTERS, ITEM_CLUSTERS) if cfg.requirements(name).clusters else None
     if found:
         found = cl.Clusters(cut(found.users), cut(found.items), None, USER_CLUSTERS, ITEM_CLUSTERS)
@@ -358,5 +360,5 @@ for _number, _name in enumerate(cfg.PARTS, 1):
 def c1_clusters(spark, sf_dir):
     """Sizes of the user clusters that are found in the ratings."""
     d = data(spark, sf_dir)
-    found = cl.induce(d, cfg.Config("biased_mf", 8, 2, 0.01, seed=SEED), USER_CLUSTERS, ITEM_CLUSTERS, restarts=2)
+    found = cl.induce(d, cfg.Config("biased_mf", FIT_DIM, FIT_EPOCHS, 0.01, seed=SEED), USER_CLUSTERS, ITEM_CLUSTERS, restarts=2)
     return cl.sizes(found.users, USER_CLUSTERS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratelathe.functions import metrics
 from ratelathe.models import config as cfg
 from ratelathe.models import fit, scoring
-from ratelathe.models.kernel import State, UserLists, epoch
+from ratelathe.models.kernel import Histories, State, UserLists, epoch, lane_epoch
 from ratelathe.operators import clusters as cl
 from ratelathe.operators.views import Ratings
 
@@ -83,6 +83,99 @@ def test_kernel_against_scalars(name):
         assert np.allclose(one.values[part], two.values[part], atol=1e-9), part
 
 
+def taste_ratings(n_users, n_items, n, seed):
+    """Ratings of hidden tastes with a user who holds a tenth of them."""
+    rng = np.random.default_rng(seed)
+    users, items = rng.integers(0, n_users, n), (rng.random(n) ** 2 * n_items).astype(int)
+    users[: n // 10] = 0
+    _, first = np.unique(users * n_items + items, return_index=True)
+    users, items = users[first], items[first]
+    a, b = rng.normal(0, 0.6, (n_users, 3)), rng.normal(0, 0.6, (n_items, 3))
+    bias = rng.normal(0, 0.3, n_users)[users] + rng.normal(0, 0.3, n_items)[items]
+    return users, items, np.clip(3.5 + bias + (a[users] * b[items]).sum(axis=1) + rng.normal(0, 0.5, len(users)), 0.5, 5)
+
+
+@pytest.mark.parametrize("name", cfg.PARTS)
+def test_eight_blocks_predict_as_sequential_descent(name):
+    """Held-out error after 20 epochs: blocks with damped changes against one step after the other."""
+    n_users, n_items, blocks, dim = 150, 60, 8, 4
+    users, items, ratings = taste_ratings(n_users, n_items, 3_000, 2)
+    held_out = np.random.default_rng(1).random(len(users)) < 0.15
+    u, i, r = users[~held_out], items[~held_out], ratings[~held_out]
+    order = np.lexsort((i, u))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n_users))])
+    histories = Histories(ends, i[order], r[order])
+    uc, ic = np.arange(n_users) % 3, np.arange(n_items) % 4
+    lists = []
+    for k in range(n_users):
+        mine = histories.items[ends[k] : ends[k + 1]]
+        lists.append(UserLists(mine, histories.ratings[ends[k] : ends[k + 1]], *[x.astype(t) for x, t in zip(np.unique(ic[mine], return_counts=True), (np.int64, float))]))
+    rows = {"p": n_users, "q": n_items, "x": n_items, "y": n_items, "pC": 3, "qC": 4, "xC": 4, "yC": 4}
+    penalty = dict.fromkeys(PENALTIES, 0.02)
+
+    def state():
+        rng = np.random.default_rng(4)
+        return State(r.mean(), 0.2 if "cb" in name else 0.0, {"bu": np.zeros(n_users), "bi": np.zeros(n_items)} | {p: rng.normal(0, 0.1, (rows[p], dim)) for p in cfg.PARTS[name].split()})
+
+    def error(s):
+        """A step of rate 0 leaves the state; the error it would take is that of a prediction."""
+        v, a, c = s.values, s.alpha, "qC" in s.values
+        own, z = 1 - a if c else 1.0, np.zeros((n_users, dim))
+        for k, one in enumerate(lists):
+            n = 1 / np.sqrt(max(len(one.items), 1))
+            if "p" in v:
+                z[k] += own * v["p"][k]
+            if c:
+                z[k] += a * v["pC"][uc[k]]
+            for part, weights in (("x", n * (one.ratings - s.mean - v["bu"][k] - v["bi"][one.items])), ("y", np.full(len(one.items), n))):
+                if part in v:
+                    z[k] += weights @ (own * v[part][one.items] + (a * v[part + "C"][ic[one.items]] if c else 0))
+        q = own * v["q"] + (a * v["qC"][ic] if c else 0)
+        found = s.mean + v["bu"][users] + v["bi"][items] + (z[users] * q[items]).sum(axis=1)
+        return np.sqrt(np.mean((np.clip(found, 0.5, 5) - ratings)[held_out] ** 2))
+
+    one, rng, order = state(), np.random.default_rng(5), np.arange(len(u))
+    for _ in range(20):
+        rng.shuffle(order)
+        epoch(one, order, u, i, r, lists, uc, ic, 0.02, penalty)
+    many, rng = state(), np.random.default_rng(6)
+    block = (u * 7 + rng.integers(0, 4, len(u)) * (u == 0)) % blocks
+    for _ in range(20):
+        apart = []
+        for b in range(blocks):
+            mine = block == b
+            s = State(many.mean, many.alpha, {p: m.copy() for p, m in many.values.items()})
+            apart.append((s, lane_epoch(s, u[mine], i[mine], r[mine], histories, uc, ic, 0.02, penalty, rng, 16)))
+        for p, m in many.values.items():
+            together, shares = sum(k[p] for _, k in apart), sum(-np.expm1(-k[p]) for _, k in apart)
+            scale = np.divide(-np.expm1(-together), shares, out=np.ones_like(shares), where=shares > 0)
+            m += sum(s.values[p] - m for s, _ in apart) * scale.reshape(-1, *[1] * (m.ndim - 1))
+    assert error(many) < 1.005 * error(one)
+    assert error(many) < 0.9 * ratings[held_out].std()
+
+
+def test_one_lane_is_sequential():
+    """One turn at a time in the same order takes the same steps."""
+    rng = np.random.default_rng(0)
+    u, i, r = np.sort(rng.integers(0, 5, 40)), rng.integers(0, 7, 40), rng.integers(1, 11, 40) / 2
+    hist = [np.unique(i[u == k]) for k in range(5)]
+    histories = Histories(np.concatenate([[0], np.cumsum([len(h) for h in hist])]), np.concatenate(hist), None)
+    make = lambda: State(3.0, 0.0, {"bu": np.zeros(5), "bi": np.zeros(7)} | {p: np.random.default_rng(ord(p)).normal(0, 0.1, (n, 3)) for p, n in (("p", 5), ("q", 7), ("y", 7))})
+    one, two, seed = make(), make(), 9
+    lane_epoch(one, u, i, r, histories, None, None, 0.05, PENALTIES, np.random.default_rng(seed), 1)
+    g = np.random.default_rng(seed)
+    shuffled = g.permutation(40)
+    by_user = shuffled[np.argsort(u[shuffled], kind="stable")]
+    counts = np.bincount(u, minlength=5)
+    turns = g.permutation(5)
+    turns = turns[np.argsort(-counts[turns], kind="stable")]
+    starts = np.cumsum(counts) - counts
+    order = np.concatenate([by_user[starts[turns[k]] : starts[turns[k]] + counts[turns[k]]] for k in g.permutation(5)])
+    epoch(two, order, u, i, r, [UserLists(h, None, np.zeros(0, int), np.zeros(0)) for h in hist], None, None, 0.05, PENALTIES)
+    for part in one.values:
+        assert np.allclose(one.values[part], two.values[part], atol=1e-12), part
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     rng = np.random.default_rng(0)
