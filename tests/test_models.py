@@ -1,6 +1,8 @@
+import os
 from dataclasses import replace
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,24 +85,17 @@ def test_kernel_against_scalars(name):
         assert np.allclose(one.values[part], two.values[part], atol=1e-9), part
 
 
-def taste_ratings(n_users, n_items, n, seed):
-    """Ratings of hidden tastes with a user who holds a tenth of them."""
-    rng = np.random.default_rng(seed)
-    users, items = rng.integers(0, n_users, n), (rng.random(n) ** 2 * n_items).astype(int)
-    users[: n // 10] = 0
-    _, first = np.unique(users * n_items + items, return_index=True)
-    users, items = users[first], items[first]
-    a, b = rng.normal(0, 0.6, (n_users, 3)), rng.normal(0, 0.6, (n_items, 3))
-    bias = rng.normal(0, 0.3, n_users)[users] + rng.normal(0, 0.3, n_items)[items]
-    return users, items, np.clip(3.5 + bias + (a[users] * b[items]).sum(axis=1) + rng.normal(0, 0.5, len(users)), 0.5, 5)
+RATINGS = "/root/testdata/sf0.001/ratings.parquet"
 
 
+@pytest.mark.skipif(not os.path.exists(RATINGS), reason="needs the test tables")
 @pytest.mark.parametrize("name", cfg.PARTS)
 def test_eight_blocks_predict_as_sequential_descent(name):
     """Held-out error after 20 epochs: blocks with damped changes against one step after the other."""
-    n_users, n_items, blocks, dim = 150, 60, 8, 4
-    users, items, ratings = taste_ratings(n_users, n_items, 3_000, 2)
-    held_out = np.random.default_rng(1).random(len(users)) < 0.15
+    table = pq.read_table(RATINGS).to_pandas().dropna()
+    users, items = (np.unique(table[c], return_inverse=True)[1] for c in ("raw_user_id", "raw_item_id"))
+    ratings, n_users, n_items, blocks, dim = table["rating"].to_numpy(), users.max() + 1, items.max() + 1, 8, 8
+    held_out = np.random.default_rng(0).random(len(users)) < 0.1
     u, i, r = users[~held_out], items[~held_out], ratings[~held_out]
     order = np.lexsort((i, u))
     ends = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n_users))])
@@ -137,21 +132,22 @@ def test_eight_blocks_predict_as_sequential_descent(name):
     one, rng, order = state(), np.random.default_rng(5), np.arange(len(u))
     for _ in range(20):
         rng.shuffle(order)
-        epoch(one, order, u, i, r, lists, uc, ic, 0.02, penalty)
+        epoch(one, order, u, i, r, lists, uc, ic, 0.01, penalty)
     many, rng = state(), np.random.default_rng(6)
-    block = (u * 7 + rng.integers(0, 4, len(u)) * (u == 0)) % blocks
+    hot = np.bincount(u).argmax()
+    block = (u * 7 + rng.integers(0, 4, len(u)) * (u == hot)) % blocks
     for _ in range(20):
         apart = []
         for b in range(blocks):
             mine = block == b
             s = State(many.mean, many.alpha, {p: m.copy() for p, m in many.values.items()})
-            apart.append((s, lane_epoch(s, u[mine], i[mine], r[mine], histories, uc, ic, 0.02, penalty, rng, 16)))
+            apart.append((s, lane_epoch(s, u[mine], i[mine], r[mine], histories, uc, ic, 0.01, penalty, rng)))
         for p, m in many.values.items():
             together, shares = sum(k[p] for _, k in apart), sum(-np.expm1(-k[p]) for _, k in apart)
             scale = np.divide(-np.expm1(-together), shares, out=np.ones_like(shares), where=shares > 0)
             m += sum(s.values[p] - m for s, _ in apart) * scale.reshape(-1, *[1] * (m.ndim - 1))
     assert error(many) < 1.005 * error(one)
-    assert error(many) < 0.9 * ratings[held_out].std()
+    assert error(many) < 0.95 * ratings[held_out].std()
 
 
 def test_one_lane_is_sequential():
