@@ -1,9 +1,10 @@
 """How often every distinct term occurs, over all and in how many records.
 
-The distinct terms get dense integer ids in sorted order (the dictionary). Each block of the input, a partition, counts
-its terms' occurrences and the records that hold them, so a term that is everywhere is one row a block from there on.
-The counts are encoded by a join with the dictionary and gathered into arrays by range of ids; the arrays of a range are
-then added up, position by position, and each position is turned back into its term.
+The distinct terms get dense integer ids in sorted order (the dictionary), and every occurrence is encoded by a join with
+it. Each block of the encoded rows, a partition, is sorted by id and counted range by range: an array of occurrences and
+one of record presence for each range of ids, one range in memory at a time. The arrays of a range are then added up,
+position by position, again one range at a time, and each position is turned back into its term. A term that is
+everywhere is one number in one array a block from there on.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelathe.operators.dense_ids import dense_ids
-from ratelathe.session import cut
+from ratelathe.session import broadcast_if_small, cut
 
 #: Ids in a range, whose counts form one array.
 RANGE_IDS = 4_096
@@ -31,8 +32,9 @@ def clean_terms(values: Column) -> Column:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], dense: bool) -> Iterator[pa.RecordBatch]:
-    """Adds up counts by range of ids: of rows (id, occurrences, records), or of arrays if ``dense``."""
-    sums: dict[int, np.ndarray] = {}
+    """Adds up counts by range of ids, in whose order the rows come: of rows (id, occurrences, records), or of arrays if
+    ``dense``. Only the arrays of the current range are held."""
+    current, held = None, np.zeros((2, RANGE_IDS), np.int64)
     for batch in batches:
         if dense:
             sizes = np.diff(batch.column("at").offsets.to_numpy())
@@ -41,17 +43,23 @@ def _gather(batches: Iterator[pa.RecordBatch], dense: bool) -> Iterator[pa.Recor
         else:
             ids, a, b = (batch.column(c).to_numpy() for c in ("id", "occurrences", "records"))
             ranges, at = ids // RANGE_IDS, ids % RANGE_IDS
-        order = np.argsort(ranges, kind="stable")
-        ranges, at, a, b = ranges[order], at[order], a[order], b[order]
         edges = np.flatnonzero(np.diff(ranges)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(ranges)]) if len(ranges) else ():
-            held = sums.setdefault(int(ranges[lo]), np.zeros((2, RANGE_IDS), np.int64))
-            np.add.at(held[0], at[lo:hi], a[lo:hi])
-            np.add.at(held[1], at[lo:hi], b[lo:hi])
-    for k, held in sorted(sums.items()):
-        used = np.flatnonzero(held[0])
-        lists = lambda x, kind: pa.array([x], pa.list_(kind))
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), lists(used.astype(np.int32), pa.int32()), lists(held[0][used], pa.int64()), lists(held[1][used], pa.int64())], names=["range", "at", "occurrences", "records"])
+            if int(ranges[lo]) != current:
+                if current is not None:
+                    yield _arrays(current, held)
+                current = int(ranges[lo])
+                held[:] = 0
+            held[0] += np.bincount(at[lo:hi], a[lo:hi], RANGE_IDS).astype(np.int64)
+            held[1] += np.bincount(at[lo:hi], b[lo:hi], RANGE_IDS).astype(np.int64)
+    if current is not None:
+        yield _arrays(current, held)
+
+
+def _arrays(number: int, held: np.ndarray) -> pa.RecordBatch:
+    used = np.flatnonzero(held[0])
+    lists = lambda x, kind: pa.array([x], pa.list_(kind))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists(used.astype(np.int32), pa.int32()), lists(held[0][used], pa.int64()), lists(held[1][used], pa.int64())], names=["range", "at", "occurrences", "records"])
 
 
 def term_counts(records: DataFrame) -> DataFrame:
@@ -62,15 +70,17 @@ def term_counts(records: DataFrame) -> DataFrame:
     entry = lambda x, n, m: F.struct(x.alias("term"), F.lit(n).alias("occurrences"), F.lit(m).alias("records"))
     several = F.concat(F.transform("terms", lambda x: entry(x, 1, 0)), F.transform(F.array_distinct("terms"), lambda x: entry(x, 0, 1)))
     marks = F.when(F.size("terms") == 1, F.transform("terms", lambda x: entry(x, 1, 1))).otherwise(several)
-    each = slim.select("field_name", F.explode(marks).alias("x"), F.spark_partition_id().alias("block")).select("field_name", "x.*", "block")
-    blocks = cut(each.groupBy("field_name", "term", "block").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
-    dictionary = dense_ids(blocks.select("field_name", "term").distinct(), ["field_name", "term"], "id")
-    encoded = blocks.join(dictionary, ["field_name", "term"]).select("id", "occurrences", "records")
-    arrays = encoded.mapInArrow(lambda x: _gather(x, False), ARRAYS).repartition("range").mapInArrow(lambda x: _gather(x, True), ARRAYS)
+    each = slim.select("field_name", F.explode(marks).alias("x")).select("field_name", "x.*")
+    dictionary = cut(dense_ids(each.select("field_name", "term").distinct(), ["field_name", "term"], "id"))
+    # A dictionary too large to broadcast is joined by shuffling; a term that is everywhere is then split by AQE.
+    encoded = each.join(broadcast_if_small(dictionary), ["field_name", "term"]).select("id", "occurrences", "records")
+    arrays = encoded.sortWithinPartitions("id").mapInArrow(lambda x: _gather(x, False), ARRAYS)
+    arrays = arrays.repartition("range").sortWithinPartitions("range").mapInArrow(lambda x: _gather(x, True), ARRAYS)
     counted = arrays.select("range", F.explode(F.arrays_zip("at", "occurrences", "records")).alias("x"))
     counted = counted.select((F.col("range") * RANGE_IDS + F.col("x.at")).alias("id"), "x.occurrences", "x.records")
-    fields = slim.filter(F.size("terms") > 0).groupBy("field_name").agg(F.count("*").alias("field_records"))
-    return dictionary.join(counted, "id").join(F.broadcast(fields), "field_name").select("field_name", F.col("id").alias("term_id"), "term", "occurrences", "records", "field_records")
+    # A row a field.
+    fields = broadcast_if_small(cut(slim.filter(F.size("terms") > 0).groupBy("field_name").agg(F.count("*").alias("field_records"))))
+    return dictionary.join(counted, "id").join(fields, "field_name").select("field_name", F.col("id").alias("term_id"), "term", "occurrences", "records", "field_records")
 
 
 def mark_terms(counts: DataFrame, rare_records: int, common_share: float) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Items get dense ids by ascending frequency, and every pair is counted under its rarer item, so that frequent items are
 nobody's key. A basket turns into stripes: one row per item with all of the basket's more frequent items, four bytes
-each, in place of a row per pair. A basket with more items than a block is split into chunks by block of ids, and every
-product of two chunks is a row of its own that any task may take. Stripes of both kinds are shuffled by the rarer item,
-which is the only time that pairs move, and counted there.
+each, in place of a row per pair. A basket with more items than a block is dealt, by a hash of the items, to as many
+chunks as its size makes blocks, and every product of two chunks is a row of its own that any task may take. Stripes of
+both kinds are shuffled by the rarer item, which is the only time that pairs move, and counted there.
 
 Items that cannot be in any wanted pair are left out before; both bounds are exact. A pair is in no more baskets than
 its rarer item, so items of fewer than ``min_count`` baskets drop out, as do items in more than 1 / ``min_ratio`` of all
@@ -19,15 +19,19 @@ from pyspark.sql import functions as F
 from ratelathe.operators.dense_ids import dense_ids
 from ratelathe.session import broadcast_if_small, cut
 
-#: Ids in a block; a larger basket is split. Baskets of one item above which the item's stripes are split, too.
+#: Items in a chunk; a larger basket is split. Baskets of one item above which the item's stripes are split, too.
 BLOCK_ITEMS, KEY_BASKETS = 1_024, 1_000_000
 
 
 def _products(sides: DataFrame) -> DataFrame:
-    """Stripes ``x, ys, basket`` from rows of two ascending arrays ``left`` and ``right``; the same one if not ``apart``."""
-    one = sides.select("basket", "right", "apart", F.posexplode("left").alias("k", "x"))
-    later = F.when(F.col("apart"), F.col("right")).otherwise(F.slice("right", F.col("k") + 2, F.size("right")))
-    return one.select("basket", "x", later.alias("ys")).filter(F.size("ys") > 0)
+    """Stripes ``x, ys, basket``: each id of the ascending arrays ``left`` and ``right`` with the larger ones of the
+    other array; of the only one if ``right`` is null."""
+    one = lambda ours, theirs: sides.filter("right is not null").select("basket", theirs, F.explode(ours).alias("x"))
+    later = lambda theirs: F.filter(theirs, lambda y: y > F.col("x"))
+    both = [one(a, b).select("basket", "x", later(b).alias("ys")) for a, b in (("left", "right"), ("right", "left"))]
+    alone = sides.filter("right is null").select("basket", "left", F.posexplode("left").alias("k", "x"))
+    alone = alone.select("basket", "x", F.slice("left", F.col("k") + 2, F.size("left")).alias("ys"))
+    return alone.unionByName(both[0]).unionByName(both[1]).filter(F.size("ys") > 0)
 
 
 def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_ratio: float = 0.0, block_items: int = BLOCK_ITEMS, key_baskets: int = KEY_BASKETS) -> DataFrame:
@@ -41,28 +45,27 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_r
     ids = dense_ids(kept, ["baskets", "item"], "id").withColumn("id", F.col("id").cast("int"))
     top = ids.agg(F.max("baskets")).first()[0] or 0
     encoded = sets.join(broadcast_if_small(ids.select("item", "id")), "item").select("basket", "id")
-    large = encoded.groupBy("basket").agg(F.count("*").alias("size")).filter(F.col("size") > block_items).select("basket", F.lit(True).alias("large"))
+    sized = encoded.groupBy("basket").agg(F.count("*").alias("size")).filter(F.col("size") > block_items)
     # At most (all rows) / block_items keys.
-    block = F.when(F.col("large"), F.floor(F.col("id") / block_items).cast("int")).otherwise(-1)
-    chunks = encoded.join(broadcast_if_small(cut(large)), "basket", "left").withColumn("block", block)
-    chunks = cut(chunks.groupBy("basket", "block").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    alone = chunks.select("basket", F.col("ids").alias("left"), F.col("ids").alias("right"), F.lit(False).alias("apart"))
-    apart = _chunk_pairs(chunks.filter("block >= 0"))
-    stripes = _products(alone).unionByName(_products(apart))
+    large = broadcast_if_small(cut(sized.select("basket", F.ceil(F.col("size") / block_items).cast("int").alias("chunks"))))
+    chunks = encoded.join(large, "basket", "left").withColumn("chunk", F.pmod(F.hash("id"), F.col("chunks")))
+    chunks = cut(chunks.groupBy("basket", "chunks", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    alone = chunks.select("basket", F.col("ids").alias("left"), F.expr("cast(null as array<int>)").alias("right"))
+    stripes = _products(alone.unionByName(_chunk_pairs(chunks.filter("chunks is not null"))))
     counted = _count(stripes, ids, top, key_baskets)
     return _scores(counted.filter(F.col("together") >= min_count), ids, n, min_ratio)
 
 
 def _chunk_pairs(chunks: DataFrame) -> DataFrame:
-    """``basket, left, right, apart`` for every two chunks of a basket. Each chunk is sent to its pairs and met there by
-    the other one, so that the pairs of a basket with very many chunks are not made in one task."""
-    # A list per basket of more than a block's items; as long as there are blocks at most.
-    blocks = cut(chunks.groupBy("basket").agg(F.collect_set("block").alias("blocks")))
-    sent = chunks.join(broadcast_if_small(blocks, 10_000), "basket").withColumn("other", F.explode("blocks")).filter("block <> other")
-    first = F.col("block") < F.col("other")
-    sides = sent.select("basket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(first, F.col("ids")).alias("left"), F.when(~first, F.col("ids")).alias("right"))
+    """``basket, left, right`` for every two chunks of a basket. Each chunk is sent to its pairs and met there by the
+    other one, so that the pairs of a basket with very many chunks are not made in one task."""
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("chunk"))
+    sent = chunks.withColumn("other", F.explode(others))
+    first = F.col("chunk") < F.col("other")
+    sides = sent.select("basket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.when(first, F.col("ids")).alias("left"), F.when(~first, F.col("ids")).alias("right"))
     met = sides.groupBy("basket", "lo", "hi").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"))
-    return met.select("basket", "left", "right", F.lit(True).alias("apart"))
+    # A chunk that no item was dealt to has no pairs.
+    return met.filter("left is not null and right is not null").select("basket", "left", "right")
 
 
 def _count(stripes: DataFrame, ids: DataFrame, top: int, key_baskets: int) -> DataFrame:

@@ -69,3 +69,32 @@ def test_query_of_all_pairs_has_no_threshold(spark, tmp_path):
     spark.createDataFrame(rows, "raw_user_id int, raw_item_id int").write.parquet(f"{tmp_path}/ratings.parquet")
     found = queries.QUERIES["p3_all_pairs"](spark, str(tmp_path)).collect()
     assert {(r["item_a"], r["item_b"]): (r["together"], r["ratio"]) for r in found} == {(1, 2): (20, 1.0), (3, 4): (1, 20.0), **{(a, b): (1, 1.0) for a in (1, 2) for b in (3, 4)}}
+
+
+def test_a_large_basket_has_as_many_chunks_as_blocks(spark):
+    """5 000 items, every 1 024th of a wide catalogue, make 5 chunks and 10 chunk pairs that hold every pair once."""
+    from ratelathe.session import cut
+
+    ids = spark.range(0, 5_000 * 1_024, 1_024).select(F.lit(1).alias("basket"), F.col("id").cast("int").alias("id"), F.lit(5).alias("chunks"))
+    chunks = cut(ids.withColumn("chunk", F.pmod(F.hash("id"), F.col("chunks"))).groupBy("basket", "chunks", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    pairs = together._chunk_pairs(chunks)
+    assert (chunks.count(), pairs.count()) == (5, 10)
+    alone = chunks.select("basket", F.col("ids").alias("left"), F.expr("cast(null as array<int>)").alias("right"))
+    stripes = together._products(alone.unionByName(pairs))
+    assert stripes.agg(F.sum(F.size("ys"))).first()[0] == 5_000 * 4_999 // 2
+    assert stripes.filter("exists(ys, y -> y <= x)").count() == 0
+
+
+def test_gathering_holds_one_range(monkeypatch):
+    """Ranges come out one after another, each with its own counts, without an array for each of them."""
+    import pyarrow as pa
+
+    ids = np.arange(0, 500 * terms.RANGE_IDS, 97)
+    made, zeros = [], np.zeros
+    monkeypatch.setattr(terms.np, "zeros", lambda *a, **k: made.append(a) or zeros(*a, **k))
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1_000]), pa.array(np.full(len(ids[k : k + 1_000]), 2)), pa.array(np.full(len(ids[k : k + 1_000]), 1))], names=["id", "occurrences", "records"]) for k in range(0, len(ids), 1_000)]
+    out = list(terms._gather(iter(batches), False))
+    assert [b["range"][0].as_py() for b in out] == list(range(500)) and len(made) == 1
+    assert sum(sum(b["occurrences"][0].as_py()) for b in out) == 2 * len(ids)
+    again = list(terms._gather(iter(out), True))
+    assert [b.to_pydict() for b in again] == [b.to_pydict() for b in out]
