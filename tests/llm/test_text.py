@@ -69,8 +69,16 @@ def test_rare_and_hot_single_bytes(spark):
     assert found == {t: (r, "single byte") for t, r in right_again.items()}
 
 
+ALIKE = {}
+
+
+@pytest.fixture(autouse=True, scope="module")
+def alike(spark):
+    ALIKE.update(lookalikes._alike(spark))
+
+
 def reference_form(text):
-    return None if text is None else unicodedata.normalize("NFC", "".join(lookalikes._pieces_of(c) for c in text))
+    return None if text is None else unicodedata.normalize("NFC", "".join(lookalikes._pieces_of(c, ALIKE) for c in text if c not in "\u200c\u200d"))
 
 
 TEXTS = ["Café", "Café", "Ｃａｆé", "Са​fé", "ậ", "ậ", "ậ", "á̧", "́x", "q́́", "  two  spaces here", "CAFÉ", "ﬁx", "Ångström Å", "가", "👍🎞️", "​", "", None, "x" * 50_000 + "é", "ё и й", "ώ", "é‍̣", "a\nb\tc"]
@@ -99,6 +107,24 @@ def test_forms_of_hangul(spark):
     assert [tuple(r) for r in lookalikes.look_alikes(df.filter("k >= 300"), "k", "body").collect()] == [(300, 301)]
 
 
+SAME = [("П", "Π"), ("Г", "Γ"), ("Ф", "Φ"), ("օ", "o"), ("հ", "h"), ("ɑ", "a"), ("Ⅰ", "I"), ("‐", "-"), ("Ｗ", "W"), ("ﾊ", "ハ"), ("a\u200bb", "ab"), ("a\u200db", "ab"), ("so\u00adft", "soft"), ("x\u00a0y", "x y"), ("о́", "ó"), ("한", "한"), ("ΑΒΓ", "АВГ"), ("ộ", "ộ"), ("\ufeffx", "x")]
+APART = [("a", "A"), ("0", "O"), ("1", "l"), ("I", "l"), ("é", "e"), ("ı", "i"), ("’", "'"), ("–", "-"), ("x  y", "x y"), ("۝", ""), ("\u0600", ""), ("\u070f", ""), ("👨\u200d👩\u200d👧", "👨👩👧"), ("🏴\U000e0067\U000e0062\U000e007f", "🏴"), ("می\u200cخواهم", "میخواهم"), ("3", "З"), ("г", "r"), ("σ", "o"), ("ﬁ", "fi"), ("²", "2")]
+
+
+def test_what_looks_the_same_and_what_does_not(spark):
+    """Pairs written out by hand, within words and alone."""
+    rows = [(k, f"w{x}w {x}") for k, x in enumerate([x for pair in SAME + APART for x in pair])]
+    found = {r["id"]: r["form"] for r in lookalikes.normal_forms(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    same = [found[2 * k] == found[2 * k + 1] for k in range(len(SAME + APART))]
+    assert [p for p, s in zip(SAME, same) if not s] == [] and [p for p, s in zip(APART, same[len(SAME) :]) if s] == []
+
+
+def test_classes_of_look_alikes(spark):
+    rows = [(1, "Café"), (2, "Cafe\u0301"), (3, "Café"), (4, "CAFÉ"), (5, None), (6, "СOP"), (7, "COP"), (8, "alone"), (9, "alone")]
+    found = lookalikes.look_alike_classes(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (6, 6, 1), (7, 6, 1)]
+
+
 def test_pairs_of_look_alikes(spark):
     rows = [(1, "Café"), (2, "Café"), (3, "Café"), (4, "CAFÉ"), (5, " "), (6, " "), (7, None), (8, "СOP"), (9, "COP"), (10, "C0P")]
     df = spark.createDataFrame(rows, "id int, t string")
