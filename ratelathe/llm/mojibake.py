@@ -2,8 +2,10 @@
 
 Multibyte originals. A text's characters are mapped back to the bytes of each legacy encoding it may have been read in;
 an automaton over the structure of UTF-8 (or Shift JIS) bytes finds the maximal well-formed spans, and only these are
-decoded, again and again while the result holds such spans (text spoiled twice). A span counts if what it decodes to is
-ordinary writing and the span itself is not: a single letter before a dash or a quote stays as it is.
+decoded, again and again until the result holds no such span (text spoiled twice or more). A span counts if what it
+decodes to is ordinary writing and the span itself is not: a single letter before a dash or a quote stays as it is.
+Spans of double bytes (GB 2312, EUC-KR, EUC-JP, Big5) are told by signs and case within them; they are decoded if one
+of these encodings alone gives common characters of one language, else only marked.
 
 Single-byte originals have no structure, so the corpus decides. Every window of characters around a non-ASCII one is
 counted over all records and over all distinct texts. A window is spoiled if re-reading it, from one of the legacy
@@ -44,8 +46,12 @@ SHIFT_JIS = re.compile(rb"(?:[\x81-\x84\x88-\x9f][\x40-\x7e\x80-\xfc]){2,}")
 #: Signs that may follow a letter in proper text, and letters that Cyrillic text holds although legacy tables put them among the signs.
 FOLLOWS_LETTER, ODD_LETTERS = set("«»Ёё‘’“”…–—›"), set("ƒªº")
 LOST = "[\ufffd\u0080-\u0084\u0086-\u009f]"
-#: Records that must hold a re-read window, how many times those of the window as it is, and rounds for text spoiled again and again.
-MIN_RECORDS, MIN_TIMES, ROUNDS = 8, 10, 4
+#: Records that must hold a re-read window, and how many times those of the window as it is.
+MIN_RECORDS, MIN_TIMES = 8, 10
+#: Double-byte encodings with the first bytes of common characters, by kind: of letters and of ideographs.
+DOUBLE_BYTE = {"gb2312": ((0xB0, 0xF7),), "euc_kr": ((0xB0, 0xC8),), "euc_jp": ((0xA4, 0xA5), (0xB0, 0xF4)), "big5": ((0xA4, 0xC6), (0xC9, 0xF9))}
+#: Neighbouring characters that double bytes are read as, four at least.
+PAIRS = re.compile("[\u00a1-\u00fe](?:[@-~]?[\u00a1-\u00fe]){3,}")
 #: The same two, in distinct texts, for a capital after a small letter.
 FLIP_TEXTS, FLIP_TIMES = 2, 2
 #: Signs that proper words hold; other characters than symbols and numbers that they do not hold between letters.
@@ -141,6 +147,9 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
                 read = m.group().decode("shift_jis")
             except UnicodeDecodeError:
                 continue
+            # What is UTF-8 for the most part is no Shift JIS.
+            if 2 * sum(map(len, UTF8.findall(m.group()))) > len(m.group()):
+                continue
             if any(0x81 <= x <= 0x84 for x in m.group()[::2]) and all(ORDINARY.match(x) and ord(x) > 0x2FF for x in read):
                 out += (text[at : m.start()], read)
                 at = m.end()
@@ -148,12 +157,54 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
     return "".join([*out, text[at:]]), covered
 
 
+def _one_language(read: str, encoding: str) -> bool:
+    """Whether all that a span decodes to is common writing of the language of the encoding."""
+    kana = [x for x in read if "\u3041" <= x <= "\u30fc"]
+    if encoding == "euc_kr":
+        return all("가" <= x <= "힣" for x in read)
+    if encoding == "euc_jp":
+        return 3 * len(kana) >= len(read) and all(x in kana or "\u3001" <= x <= "\u9fff" for x in read)
+    return not kana and all("\u4e00" <= x <= "\u9fff" for x in read)
+
+
+def _double_bytes(text: str) -> tuple[str, bool]:
+    """``text`` with its spans of double bytes decoded where one encoding alone gives writing, and whether it has any."""
+    found = False
+
+    def read(m: re.Match) -> str:
+        nonlocal found
+        seen = m.group()
+        signs = any(not x.isalpha() for x in seen[1:] if x not in FOLLOWS_LETTER)
+        flips = any(x.islower() and y.isupper() for x, y in zip(seen, seen[1:]))
+        raw = seen.encode("latin-1")
+        cyrillic = raw.decode("cp1251", "replace").strip("«»")
+        # What is UTF-8 for the most part is not double bytes.
+        if 2 * sum(map(len, UTF8.findall(raw))) > len(raw):
+            return seen
+        if not (signs and flips) and not (signs and len(seen) > 5) or cyrillic.isalpha() or sum(x < 0xC0 for x in raw) * 4 < len(raw):
+            return seen
+        fits = []
+        for encoding, leads in DOUBLE_BYTE.items():
+            try:
+                decoded = raw.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+            if 2 * len(decoded) == len(raw) and all(any(lo <= x <= hi for lo, hi in leads) for x in raw[::2]) and _one_language(decoded, encoding):
+                fits.append(decoded)
+        found |= bool(fits)
+        return fits[0] if len(set(fits)) == 1 else seen
+
+    return PAIRS.sub(read, text), found
+
+
 def restore(text: str) -> str | None:
-    """``text`` with its multibyte spans decoded; null if it has none. Each round takes the encoding whose spans cover most characters."""
+    """``text`` with its multibyte spans decoded; null if it has none. Each round takes the encoding whose spans cover
+    most characters; it ends as each round makes the text shorter."""
+    found, has = _double_bytes(text)
+    if has:
+        return found
     found = None
-    for _ in range(ROUNDS):
-        if text.isascii():
-            break
+    while not text.isascii():
         best, covered = "", 0
         for encoding in READ_AS:
             result, n = _decode_spans(text, encoding)
@@ -165,10 +216,24 @@ def restore(text: str) -> str | None:
     return found
 
 
+def may_hold_spans() -> str:
+    """A pattern that every text with multibyte spans matches: a first byte and a next one in one of the encodings, a
+    sign or a capital after a small letter in those whose spans only these show, or first bytes of Shift JIS."""
+    escaped = lambda xs: "".join(f"\\x{{{ord(x):x}}}" for x in sorted(xs))
+    found, signs = ["[\\x{81}-\\x{84}‚ƒ„]"], set()
+    for encoding in READ_AS:
+        table = _bytes_of(encoding)
+        if encoding in SIGNS_SHOW:
+            signs |= {x for x in table if not x.isalnum() and not x.isspace() and x not in FOLLOWS_LETTER}
+        else:
+            found.append(f"[{escaped(x for x, b in table.items() if 0xC2 <= b <= 0xF4)}][{escaped(x for x, b in table.items() if b <= 0xBF)}]")
+    return "|".join([*found, f"[{escaped(signs)}]", "[^\\x00-\\x7f&&[\\p{Ll}]][^\\x00-\\x7f&&[\\p{Lu}]]", "[\\x{a1}-\\x{fe}][@-~]?[\\x{a1}-\\x{fe}]"])
+
+
 def _restore_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = pa.array([restore(x) for x in batch.column("text").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), column], names=["id", "text", "restored"])
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("n"), column], names=["text", "n", "restored"])
 
 
 def _windows(text: Column) -> Column:
@@ -274,25 +339,28 @@ def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mids, padded = {p["window"]: p["mid"] for p in pairs}, f"  {text}  "
                 text = "".join(mids.get(padded[k : k + 5]) or text[k] for k in range(len(text)))
             out.append(text)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "text", "restored")), pa.array(out, pa.string()), pa.array([bool(p) for p in pairs_of])], names=["id", "text", "restored", "reread", "single"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text", "restored")), pa.array(out, pa.string()), pa.array([bool(p) for p in pairs_of])], names=["text", "restored", "reread", "single"])
 
 
 def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, text, restored, kind`` of every affected record: ``restored`` is the text as far as it can be had back
     (null if nothing can), ``kind`` is ``multibyte``, ``single byte``, or ``lost`` if only lost characters show it.
-    Records with null, empty or ASCII text are not affected. Records with one text share one result; ``key`` need not be
-    unique, each row is a record."""
+    Records with null, empty or ASCII text are not affected. Each distinct text is looked at once and its records share
+    the result; ``key`` need not be unique, each row is a record."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-    kind = rows.schema["id"].dataType.simpleString()
-    decoded = cut(rows.mapInArrow(_restore_all, f"id {kind}, text string, restored string").withColumn("row", F.monotonically_increasing_id()))
-    texts = decoded.groupBy(F.coalesce("restored", "text").alias("text")).agg(F.count("*").alias("n"))
-    spoiled = broadcast_if_small(cut(spoiled_windows(texts)))
+    distinct = cut(rows.groupBy("text").agg(F.count("*").alias("n")))
+    spans = F.col("text").rlike(may_hold_spans())
+    decoded = distinct.filter(spans).mapInArrow(_restore_all, "text string, n bigint, restored string")
+    decoded = decoded.unionByName(distinct.filter(~spans).withColumn("restored", F.lit(None).cast("string")))
+    decoded = cut(decoded.withColumn("row", F.monotonically_increasing_id()))
     base = F.coalesce("restored", "text")
+    spoiled = broadcast_if_small(cut(spoiled_windows(decoded.groupBy(base.alias("text")).agg(F.sum("n").alias("n")))))
     held = decoded.select("row", F.explode(F.array_distinct(_windows(base))).alias("window")).join(spoiled, "window")
     pairs = held.groupBy("row").agg(F.collect_list(F.struct("window", "mid")).alias("pairs"))
-    joined = decoded.withColumn("base", base).join(pairs, "row", "left").select("id", "text", "restored", "base", "pairs")
-    reread = joined.mapInArrow(_reread, f"id {kind}, text string, restored string, reread string, single boolean")
+    joined = decoded.withColumn("base", base).join(pairs, "row", "left").select("text", "restored", "base", "pairs")
+    reread = joined.mapInArrow(_reread, "text string, restored string, reread string, single boolean")
     lost = F.col("text").rlike(LOST)
     hit = reread.filter(F.col("restored").isNotNull() | F.col("single") | lost)
     name = F.when(F.col("restored").isNotNull(), "multibyte").when(F.col("single"), "single byte").otherwise("lost")
-    return hit.select("id", "text", F.when(F.col("reread") != F.col("text"), F.col("reread")).alias("restored"), name.alias("kind"))
+    affected = cut(hit.select("text", F.when(F.col("reread") != F.col("text"), F.col("reread")).alias("restored"), name.alias("kind")))
+    return rows.join(broadcast_if_small(affected), "text").select("id", "text", "restored", "kind")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ratelathe.llm import lookalikes, mojibake, packing, tokenize
 
@@ -43,6 +44,35 @@ def test_proper_scripts_stay(text):
     assert mojibake.restore(text) is None
 
 
+@pytest.mark.parametrize(("text", "encoding"), [("中国电影", "gb2312"), ("무한도전 영화", "euc_kr"), ("静かな夜と星", "euc_jp"), ("電影院的故事", "big5")])
+def test_double_bytes(text, encoding):
+    """Restored, or marked without a guess; never anything else."""
+    seen = text.encode(encoding).decode("latin-1")
+    assert mojibake.restore(seen) in (text, seen)
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("times", [1, 2, 3, 5, 7])
+@pytest.mark.parametrize("text", ["Amélie", "Canción", "Größe", "Ông Việt Nam", "Чужая"])
+def test_spoilt_again_and_again(text, encoding, times):
+    seen = text
+    for _ in range(times):
+        seen = spoil(seen, encoding)
+    assert mojibake.restore(seen) == text
+
+
+@pytest.mark.parametrize("text", ["Ìîñêâà ñëåçàì", "«ÉÈÙ»", "AÇÕES", "ÀÉÈÙ çà êôû"])
+def test_no_double_bytes(text):
+    assert mojibake.restore(text) is None
+
+
+def test_every_span_passes_the_pattern(spark):
+    texts = [spoil(t, e) for t, e in SPOILT] + [spoil(t, e) for t in ("한국어", "Việt Nam", "🤣", "größer", "поздний") for e in mojibake.READ_AS]
+    texts += [t.encode(e).decode("latin-1") for t, e in (("中国电影", "gb2312"), ("静かな夜と星", "euc_jp"), ("静かな夜", "shift_jis"))]
+    df = spark.createDataFrame([(t,) for t in texts if mojibake.restore(t) is not None], "t string")
+    assert df.count() > 60 and df.filter(~F.col("t").rlike(mojibake.may_hold_spans())).count() == 0
+
+
 def test_spoilt_twice_and_in_part():
     assert mojibake.restore(spoil(spoil("Canción", "cp1252"), "cp1252")) == "Canción"
     assert mojibake.restore("año y niÃ±o") == "año y niño"
