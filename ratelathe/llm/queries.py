@@ -36,6 +36,11 @@ def p3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.pair_counts(_table(spark, sf_dir, "ratings"), "raw_user_id", "raw_item_id")
 
 
+def p3_pairs_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair again, with chunks so small and items so hot that baskets are split and items' stripes counted in parts."""
+    return together.pair_counts(_table(spark, sf_dir, "ratings"), "raw_user_id", "raw_item_id", block_items=256, key_baskets=1_000)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pairs(spark, sf_dir).select("item_a", "item_b")
 
@@ -55,6 +60,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts had back from their token ids."""
+    return tokenize.decode(p7_ids(spark, sf_dir), "ids", "text").select("doc_id", "text")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("size"))
     placed = packing.fill_containers(sizes, "doc_id", "size", CAPACITY)
@@ -74,7 +84,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_all_pairs, p3_found, p3_pairs, p4_found, p4_repaired, p7_ids, p8_containers, p8_fill, p9_found, p9_forms)}
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookalikes.look_alike_classes(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.col("class_id").alias("class_doc_id"), "links")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_all_pairs, p3_found, p3_pairs, p3_pairs_in_parts, p4_found, p4_repaired, p7_ids, p7_text, p8_containers, p8_fill, p9_classes, p9_found, p9_forms)}
 
 _TERMS = """
 WITH v AS (SELECT 'tags.tag' AS field_name, tag_id AS id, lower(trim(tag, ' ')) AS term FROM tags
@@ -103,4 +118,6 @@ SQL = {
     "p3_all_pairs": _ALL_PAIRS,
     "p3_found": f"SELECT item_a, item_b FROM ({_PAIRS})",
     "p3_pairs": _PAIRS,
+    "p3_pairs_in_parts": _ALL_PAIRS,
+    "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -182,6 +182,16 @@ def test_ids_and_round_trip(spark, tokenizer):
     assert tokenize.encode(df.limit(0), "k", "body").count() == 0
 
 
+def test_a_word_of_a_million_letters(tokenizer):
+    """Random letters, base64 and Chinese without a space: parted where no token reaches over, the ids are the same."""
+    import regex
+
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000)), "".join(rng.choice(list("静かな夜电影院的故事"), 20_000)), "Zm9vYmFyIGJhcnF1eA" * 500]
+    found = tokenize.WordEncoder(tokenize.read_ranks(f"{tokenize.VOCABULARIES}/byte_bpe_50k.tiktoken")).encode([regex.findall(tokenize.PATTERN, w) for w in words])
+    assert found.to_pylist() == [tokenizer.encode_ordinary(w) for w in words]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(max_size=30), max_size=8))
 def test_random_text(texts):
