@@ -18,7 +18,8 @@ def score_stream(model: Model, pairs: DataFrame, clip: bool = True) -> DataFrame
 def session_stream(events: DataFrame, entity: str, time: str, gap: str, late: str) -> DataFrame:
     """``entity, session_start, session_end, events`` of a stream with a timestamp column. A session is given out once
     the watermark has passed its end; events later than ``late`` are left out. The end is that of the last event, and
-    two events exactly ``gap`` apart are in different sessions, as Spark's session windows have it."""
+    two events exactly ``gap`` apart are in one session, as in ``sessions.cut_sessions``."""
     held = events.select(F.col(entity).alias("entity"), F.col(time).alias("time")).dropna().withWatermark("time", late)
-    found = held.groupBy("entity", F.session_window("time", gap).alias("w")).agg(F.max("time").alias("session_end"), F.count("*").alias("events"))
+    # Spark's session windows are open at the end, so that theirs is a unit wider.
+    found = held.groupBy("entity", F.session_window("time", f"{gap} 1 microsecond").alias("w")).agg(F.max("time").alias("session_end"), F.count("*").alias("events"))
     return found.select("entity", F.col("w.start").alias("session_start"), "session_end", "events")

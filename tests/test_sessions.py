@@ -30,12 +30,52 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@given(st.lists(st.integers(0, 50), max_size=40), st.integers(0, 50))
-def test_tree_cuts_like_a_scan(gaps, threshold):
-    left, right, root = s.gap_tree(np.array(gaps, dtype=np.int64))
-    assert s.wide_gaps(gaps, left, right, root, threshold) == [k for k, g in enumerate(gaps) if g > threshold]
-    for k in range(len(gaps)):
-        assert all(gaps[c] <= gaps[k] for c in (left[k], right[k]) if c >= 0)
+def stack_tree(gaps):
+    """The tree by the usual walk with a stack."""
+    left, right, stack = [-1] * len(gaps), [-1] * len(gaps), []
+    for k, gap in enumerate(gaps):
+        below = -1
+        while stack and gaps[stack[-1]] < gap:
+            below = stack.pop()
+        left[k] = below
+        if stack:
+            right[stack[-1]] = k
+        stack.append(k)
+    return left, right, stack[:1]
+
+
+@given(st.lists(st.lists(st.integers(0, 9), max_size=25), min_size=1, max_size=4), st.integers(0, 9))
+def test_trees_side_by_side(pieces, threshold):
+    gaps = np.array([x for p in pieces for x in [*p, s.WALL]][:-1], np.int64)
+    left, right, roots = s.gap_trees(gaps)
+    at, expected = 0, ([], [], [])
+    for p in pieces:
+        shift = lambda xs: [x + at if x >= 0 else x for x in xs]  # noqa: B023, E731
+        for out, found in zip(expected, stack_tree(p)):
+            out.extend(shift(found))
+        at += len(p) + 1
+    inner = gaps != s.WALL
+    assert left[inner].tolist() == expected[0] and right[inner].tolist() == expected[1]
+    assert np.flatnonzero(roots).tolist() == expected[2]
+    wide = s.wide_gaps(gaps, left, right, np.flatnonzero(roots), threshold)
+    assert wide.tolist() == np.flatnonzero((gaps > threshold) & inner).tolist()
+
+
+@pytest.mark.parametrize("gaps", [np.arange(65_536), np.arange(65_536)[::-1].copy(), np.full(65_536, 7), np.append(np.arange(5_000)[::-1], 10**6)])
+def test_one_sided_trees(gaps):
+    left, right, roots = s.gap_trees(gaps)
+    x, y, root = stack_tree(gaps.tolist())
+    assert left.tolist() == x and right.tolist() == y and np.flatnonzero(roots).tolist() == root
+
+
+def test_chunks_without_a_cut_stay_shut(spark):
+    """The tree over the chunks leads to the one that holds a wide gap."""
+    rows = [(1, t) for t in [*range(0, 100), *range(500, 600)]] + [(2, 5)]
+    forest = cut(s.gap_forest(spark.createDataFrame(rows, "u int, t bigint").coalesce(1), "u", "t", 10))
+    merged = cut(s.merge_chunks(forest))
+    assert merged.count() == 1 and len(merged.first()["first"]) == 20 and max(merged.first()["weight"]) == 401
+    assert s._opened(merged, 30).filter("opened").count() == 1 and s._opened(merged, 401).filter("opened").count() == 0
+    assert rows_of(s.cut_sessions(forest, 30, merged)) == [(1, 0, 99, 99, 100), (1, 500, 599, 99, 100), (2, 5, 5, 0, 1)]
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 7, 10_000])
