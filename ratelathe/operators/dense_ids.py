@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelathe.session import cut
@@ -11,14 +11,22 @@ from ratelathe.session import cut
 LOCAL_BITS = 33
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with the bigint ``name``: each row's place in the order of ``order``, from 0. The order must be total (a
-    unique combination), or ties take any order. Rows are sorted over ranges; each range then adds the number of rows
-    in the ranges before it. That table has a row per range, which is a partition, so it may be broadcast."""
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """``df`` with the bigint ``name``: each row's place in the order of ``order``, from 0; and the number of rows. The
+    order must be total (a unique combination), or ties take any order. Rows are sorted over ranges and stored once;
+    each range then adds the number of rows in the ranges before it. The driver sees a row per range, a partition."""
     at = F.monotonically_increasing_id()
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.shiftright(at, LOCAL_BITS), "__at": at.bitwiseAND((1 << LOCAL_BITS) - 1)})
     placed = cut(placed)
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__part").alias("__of"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    joined = placed.join(F.broadcast(before), F.col("__part") == F.col("__of"))
-    return joined.withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__of", "__before")
+    total, before = 0, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "__of bigint, __before bigint")
+    joined = placed.join(F.broadcast(offsets), F.col("__part") == F.col("__of"))
+    return joined.withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__of", "__before"), total
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``numbered`` without the number of rows."""
+    return numbered(df, order, name)[0]

@@ -3,7 +3,9 @@
 Rows get a position in a seeded order. The first ``train`` positions are training rows; a later row is one as well if it
 is the first of its user or of its item in that order, since neither can then be known from training. That is the
 outcome of walking the rest in order and moving each row whose user or item is not yet known, found here with two
-minima. Rows that stay keep their order: validation takes as many as was asked, test the others.
+minima, of which only those beyond the first training rows matter. Rows that stay keep their order: validation takes as
+many as was asked, test the others; where it ends follows from the numbers of the moved rows. So the rows are sorted and
+stored once, and nothing but positions of moved rows is joined to them.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelathe.operators.dense_ids import dense_ids
+from ratelathe.operators.dense_ids import numbered
 from ratelathe.operators.views import Ratings
-from ratelathe.session import cut
+from ratelathe.session import broadcast_if_small, cut
 
 FAMILIES = ("benchmark_random_v1", "paper_faithful_ml100k_v1", "paper_faithful_ml100k_inner_v1")
 
@@ -23,12 +25,14 @@ def order_key(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
 
 
-def _positions(rows: DataFrame, seed: int, row_order: list[int] | None = None) -> DataFrame:
-    """Rows with ``pos``; by ``row_order`` (row ids in a given order, small data only) if it is given."""
+def _positions(rows: DataFrame, seed: int, row_order: list[int] | None = None) -> tuple[DataFrame, int]:
+    """Stored rows with ``pos``, and their number; by ``row_order`` (row ids in a given order, small data only) if given."""
     if row_order is not None:
         given = rows.sparkSession.createDataFrame([(int(r), k) for k, r in enumerate(row_order)], "row_id bigint, pos bigint")
-        return rows.join(given, "row_id")
-    return dense_ids(rows.withColumn("__key", order_key(seed)), ["__key", "row_id"], "pos").drop("__key")
+        placed = cut(rows.join(given, "row_id"))
+        return placed, placed.count()
+    placed, n = numbered(rows.withColumn("__key", order_key(seed)), ["__key", "row_id"], "pos")
+    return placed.drop("__key"), n
 
 
 def _check(train: float, validation: float, parts: int) -> None:
@@ -36,38 +40,46 @@ def _check(train: float, validation: float, parts: int) -> None:
         raise ValueError(f"ratios out of range: train {train}, validation {validation}")
 
 
-def _covered(placed: DataFrame, train_rows: int) -> DataFrame:
-    """Adds ``covered``: whether a row is a training row. Both minima aggregate per key before they are joined."""
-    users = placed.groupBy("user_idx").agg(F.min("pos").alias("__u"))
-    items = placed.groupBy("item_idx").agg(F.min("pos").alias("__i"))
-    joined = placed.join(users, "user_idx").join(items, "item_idx")
-    train = (F.col("pos") < train_rows) | (F.col("pos") == F.col("__u")) | (F.col("pos") == F.col("__i"))
-    return joined.withColumn("covered", train).drop("__u", "__i")
+def _moved(placed: DataFrame, train_rows: int) -> DataFrame:
+    """``pos`` of the rows from ``train_rows`` on that are the first of their user or item. Both minima aggregate per key
+    before anything moves; few of them lie so late."""
+    firsts = [placed.groupBy(key).agg(F.min("pos").alias("pos")).filter(F.col("pos") >= train_rows).select("pos") for key in ("user_idx", "item_idx")]
+    return cut(firsts[0].unionByName(firsts[1]).distinct())
+
+
+def _with_moved(placed: DataFrame, moved: DataFrame, train_rows: int) -> tuple[DataFrame, Column]:
+    """``placed`` with ``__moved`` (null if not), and whether a row is a training row."""
+    joined = placed.join(broadcast_if_small(moved.select("pos", F.lit(True).alias("__moved"))), "pos", "left")
+    return joined, (F.col("pos") < train_rows) | F.col("__moved").isNotNull()
 
 
 def split_rows(rows: DataFrame, train: float = 0.8, validation: float = 0.1, seed: int = 42, row_order: list[int] | None = None) -> DataFrame:
     """``rows`` with ``split`` (train, validation, test). Sizes are int(n * ratio) before rows move to train; no rows
     give no rows."""
     _check(train, validation, 3)
-    placed = cut(_positions(rows, seed, row_order))
-    n = placed.count()
-    covered = cut(_covered(placed, int(n * train)))
-    rest = dense_ids(covered.filter("not covered"), ["pos"], "__kept")
-    part = F.when(F.col("__kept") < int(n * validation), "validation").otherwise("test")
-    return covered.filter("covered").withColumn("split", F.lit("train")).drop("pos", "covered").unionByName(rest.withColumn("split", part).drop("pos", "covered", "__kept"))
+    placed, n = _positions(rows, seed, row_order)
+    first, wanted = int(n * train), int(n * validation)
+    moved = _moved(placed, first)
+    # The k-th moved row has pos - first - k rows before it that stay; validation ends after as many as are wanted.
+    ranked = numbered(moved, ["pos"], "__k")[0]
+    end = first + wanted + ranked.filter(F.col("pos") - first - F.col("__k") <= wanted).count()
+    joined, trains = _with_moved(placed, moved, first)
+    part = F.when(trains, "train").when(F.col("pos") < end, "validation").otherwise("test")
+    return joined.withColumn("split", part).drop("pos", "__moved")
 
 
 def split_rows_in_two(rows: DataFrame, validation: float, seed: int = 42, row_order: list[int] | None = None) -> DataFrame:
     """``rows`` with ``split`` (train, validation): the last int(n * ratio) rows of the order are validation, but for
     those that training needs. ValueError if either is empty."""
     _check(1 - validation, 0, 2)
-    placed = cut(_positions(rows, seed, row_order))
-    n = placed.count()
-    covered = cut(_covered(placed, n - int(n * validation)))
-    sizes = covered.agg(F.count_if("covered"), F.count_if(~F.col("covered"))).first()
-    if not sizes[0] or not sizes[1]:
+    placed, n = _positions(rows, seed, row_order)
+    first = n - int(n * validation)
+    moved = _moved(placed, first)
+    left = n - first - moved.count()
+    if not left or left == n:
         raise ValueError("the split leaves no training or no validation rows")
-    return covered.withColumn("split", F.when(F.col("covered"), "train").otherwise("validation")).drop("pos", "covered")
+    joined, trains = _with_moved(placed, moved, first)
+    return joined.withColumn("split", F.when(trains, "train").otherwise("validation")).drop("pos", "__moved")
 
 
 def fold_row_ids(interactions: DataFrame, folds: DataFrame) -> DataFrame:
@@ -122,8 +134,7 @@ def build_split(data: Ratings, family: str, *, train: float = 0.8, validation: f
 def time_split(rows: DataFrame, order: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """``rows`` with ``split`` by time: the earliest are train, the latest test; rows of one time by row id."""
     _check(train, validation, 3)
-    placed = cut(dense_ids(rows, [order, "row_id"], "__pos"))
-    n = placed.count()
+    placed, n = numbered(rows, [order, "row_id"], "__pos")
     part = F.when(F.col("__pos") < int(n * train), "train").when(F.col("__pos") < int(n * train) + int(n * validation), "validation").otherwise("test")
     return placed.withColumn("split", part).drop("__pos")
 

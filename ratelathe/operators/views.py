@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelathe.operators import interactions
 from ratelathe.session import cut
 
 COLUMNS = ["row_id", "user_idx", "item_idx", "rating"]
@@ -35,11 +34,11 @@ class Ratings:
     @staticmethod
     def of(rows: DataFrame, name: str = "all") -> Ratings:
         """Takes the numbers from one aggregation; ValueError for no rows."""
-        s = interactions.summary(rows).first()
-        if not s["interactions"]:
+        rating = F.col("rating").cast("double")
+        n, users, items, low, high = rows.agg(F.count("*"), F.max("user_idx"), F.max("item_idx"), F.min(rating), F.max(rating)).first()
+        if not n:
             raise ValueError("no ratings")
-        ends = rows.agg(F.max("user_idx"), F.max("item_idx")).first()
-        return Ratings(rows, ends[0] + 1, ends[1] + 1, s["rating_min"], s["rating_max"], name)
+        return Ratings(rows, users + 1, items + 1, low, high, name)
 
     def subset(self, ids: DataFrame, name: str) -> Ratings:
         """The rows whose ``row_id`` is in ``ids``; a semi-join, evaluated when needed."""
