@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelathe.operators.dense_ids import dense_ids
+from ratelathe.operators.dense_ids import dense_ids, numbered
 from ratelathe.session import broadcast_if_small
 
 
@@ -14,15 +14,26 @@ def id_mapping(ratings: DataFrame, raw: str, idx: str) -> DataFrame:
     return dense_ids(ratings.select(raw).dropna().distinct(), [raw], idx).withColumn(idx, F.col(idx).cast("int"))
 
 
+def id_mappings(ratings: DataFrame, names: dict[str, str]) -> list[tuple[DataFrame, int]]:
+    """``id_mapping`` of several raw columns of one type, each with its number of ids: read, sorted and stored at once."""
+    raws = list(names)
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(raw).alias("raw")) for k, raw in enumerate(raws)]))
+    found, _ = numbered(ratings.select(every.alias("x")).select("x.*").dropna().distinct(), ["kind", "raw"], "place")
+    first = {r["kind"]: (r["first"], r["n"]) for r in found.groupBy("kind").agg(F.min("place").alias("first"), F.count("*").alias("n")).collect()}
+    mapped = lambda k, raw: found.filter(F.col("kind") == k).select(F.col("raw").alias(raw), (F.col("place") - first.get(k, (0, 0))[0]).cast("int").alias(names[raw]))
+    return [(mapped(k, raw), first.get(k, (0, 0))[1]) for k, raw in enumerate(raws)]
+
+
 def with_row_ids(ratings: DataFrame, order: list[str]) -> DataFrame:
     """``ratings`` with the 0-based bigint ``row_id`` in the order of the given columns."""
     return dense_ids(ratings.drop("row_id"), order, "row_id") if order else ratings.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def build_interactions(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+def build_interactions(ratings: DataFrame, users: DataFrame, items: DataFrame, known: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """``row_id, user_idx, item_idx, rating, timestamp, raw_user_id, raw_item_id``: ratings with their dense ids. Rows
-    with a null id, which no mapping holds, drop out. A mapping is broadcast only if a count proves it small."""
-    joined = ratings.join(broadcast_if_small(users), "raw_user_id").join(broadcast_if_small(items), "raw_item_id")
+    with a null id, which no mapping holds, drop out. A mapping is broadcast only if a count, or the ``known`` numbers
+    of users and items, prove it small."""
+    joined = ratings.join(broadcast_if_small(users, known=known[0]), "raw_user_id").join(broadcast_if_small(items, known=known[1]), "raw_item_id")
     return joined.select("row_id", "user_idx", "item_idx", "rating", "timestamp", "raw_user_id", "raw_item_id")
 
 

@@ -44,13 +44,18 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.dropna()
 
 
+NAMES = {"raw_user_id": "user_idx", "raw_item_id": "item_idx"}
+
+
 def mappings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return ops.id_mapping(df, "raw_user_id", "user_idx"), ops.id_mapping(df, "raw_item_id", "item_idx")
+    (users, _), (items, _) = ops.id_mappings(df, NAMES)
+    return users, items
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ratings(spark, sf_dir)
-    return ops.build_interactions(df, *mappings(df))
+    (users, n_users), (items, n_items) = ops.id_mappings(df, NAMES)
+    return ops.build_interactions(df, users, items, (n_users, n_items))
 
 
 def data(spark: SparkSession, sf_dir: str) -> Ratings:
@@ -74,12 +79,12 @@ e AS (SELECT user_idx, item_idx, first(rating ORDER BY row_id) AS rating FROM x
 
 @query(BASE + "SELECT * FROM um")
 def a2_user_mapping(spark, sf_dir):
-    return mappings(ratings(spark, sf_dir))[0]
+    return ops.id_mapping(ratings(spark, sf_dir), "raw_user_id", "user_idx")
 
 
 @query(BASE + "SELECT * FROM im")
 def a2_item_mapping(spark, sf_dir):
-    return mappings(ratings(spark, sf_dir))[1]
+    return ops.id_mapping(ratings(spark, sf_dir), "raw_item_id", "item_idx")
 
 
 @query(BASE + "SELECT * FROM x")

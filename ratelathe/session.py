@@ -67,9 +67,12 @@ def _value_bytes(value: Column, kind: T.DataType) -> Column:
     return F.lit(VALUE_BYTES)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, known: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if counting proves that it has at most ``rows`` rows and about ``size`` bytes;
-    otherwise ``df`` itself, which Spark then joins by shuffling with its own skew handling. Pass something cheap to count."""
+    otherwise ``df`` itself, which Spark then joins by shuffling with its own skew handling. Pass something cheap to
+    count, or the ``known`` number of rows of columns without a length of their own."""
+    if known is not None:
+        return F.broadcast(df) if known <= rows and known * len(df.columns) * VALUE_BYTES <= size else df
     row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
     n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and total <= size else df
