@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from ratelathe.models.config import PARTS
 
@@ -61,16 +62,21 @@ def _run(a: argparse.Namespace) -> object:
         return reporting.render(reporting.result_table(spark, a.runs_dir, a.dataset or None, a.all_runs), a.format)
     data, folds = _loaded(spark, a)
     if name == "train" or name in MODELS:
-        result = experiment.run(spark, data, _profile(a), _plan(a), seed=a.model_seed, out_dir=a.out_dir, fold_ids=folds, cache_policy=a.cache, command=" ".join(sys.argv))
+        result = experiment.run(spark, data, _profile(a), _plan(a), seed=a.model_seed, out_dir=a.out_dir, fold_ids=folds, cache_policy=a.cache, index_cache=a.index_cache, cluster_cache=a.cluster_cache, command=" ".join(sys.argv))
         return {"folder": result.folder, "metrics": result.metrics["metrics"]}
     if name in ("tune-inner", "tune-ml100k-inner"):
         plans = [_plan(a)] if name == "tune-inner" else [experiment.SplitPlan("paper_faithful_ml100k_inner_v1", validation=a.validation_ratio, fold=k, inner_seed=a.inner_seed or 1) for k in a.folds]
         ranked = studies.tune(spark, data, _profile(a), read_yaml(a.candidates)["candidates"], plans, seed=a.model_seed, out_dir=a.out_dir, fold_ids=folds, peak_limit_mb=a.peak_limit_mb)
         return [r.asDict() for r in ranked.orderBy("rank").collect()]
-    if name == "benchmark-random-multiseed":
-        rows = studies.random_splits(spark, data, _profile(a), a.seeds, _plan(a))
+    seeds = a.seeds if name.endswith("multiseed") else [a.model_seed]
+    if name.endswith("multiseed") and a.from_runs:
+        random = name == "benchmark-random-multiseed"
+        each = [(replace(_plan(a), seed=s) if random else experiment.SplitPlan("paper_faithful_ml100k_v1", fold=k), s) for s in seeds for k in ([0] if random else range(1, 6))]
+        rows = studies.stored_runs(spark, a.from_runs, data.name, _profile(a), *map(list, zip(*each)))
+    elif name == "benchmark-random-multiseed":
+        rows = studies.random_splits(spark, data, _profile(a), seeds, _plan(a), out_dir=a.out_dir)
     else:
-        rows = studies.folds(spark, data, _profile(a), folds, a.seeds if name.endswith("multiseed") else [a.model_seed])
+        rows = studies.folds(spark, data, _profile(a), folds, seeds, out_dir=a.out_dir)
     return {"folder": studies.write_benchmark(a.out_dir, name, rows)}
 
 
@@ -104,12 +110,15 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--dataset", default="ml100k") if n == "run-experiment" else c.add_argument("--dataset-manifest", required=True)
         c.add_argument("--out-dir", default="artifacts/runs")
         c.add_argument("--cache", choices=("auto", "on", "off"), default="auto")
+        for kind in ("--index-cache", "--cluster-cache"):
+            c.add_argument(kind, choices=("auto", "on", "off"))
         if n.startswith("tune"):
             c.add_argument("--candidates", required=True)
             c.add_argument("--peak-limit-mb", type=float)
             c.add_argument("--folds", type=int, nargs="+", default=[1, 2, 3, 4, 5])
         if n.endswith("multiseed"):
             c.add_argument("--seeds", type=int, nargs="+", default=[1, 2, 3])
+            c.add_argument("--from-runs")
     return p
 
 

@@ -34,15 +34,16 @@ class Metadata(Strict):
 class Identity(Strict):
     name: str
     family: str
-    scope: str
+    # Fixed values, as are those of the other fields of a profile: its files must load.
+    scope: Literal["paper_faithful", "paper_inspired", "extended"]
 
 
 class Clustering(Strict):
     n_user_clusters: Count
     n_item_clusters: Count
     alpha: Annotated[float, Field(ge=0, le=1)]
-    algorithm: Literal["kmeans"] = "kmeans"
-    kmeans_n_init: Count = 1
+    algorithm: Literal["kmeans"]
+    kmeans_n_init: Count
 
 
 def _training(name: str) -> type[BaseModel]:
@@ -50,10 +51,11 @@ def _training(name: str) -> type[BaseModel]:
     fields: dict[str, Any] = {"latent_dim": (Count, ...), "epochs": (Count, ...), "learning_rate": (Positive, ...), "lambda_b": (NotNegative, ...), "init_std": (Positive, ...), "dtype": (Literal["float32", "float64"], ...)}
     fields |= {f"lambda_{p}": (NotNegative, ...) for p in parts}
     if "y" in parts:
-        fields["implicit_policy"] = (str, ...)
+        fields["implicit_policy"] = (Literal["ratings_as_implicit"], ...)
     if "x" in parts:
-        fields["residual_weight_contract"] = (str, ...)
+        fields["residual_weight_contract"] = (Literal["detached"], ...)
     if name in ("biased_mf", "svdpp"):
+        # exact and distributed are this engine's own; python and numba name the exact one.
         fields["training_backend"] = (Literal["auto", "exact", "distributed", "python", "numba"], ...)
     return create_model(f"{name}_training", __base__=Strict, **fields)
 
@@ -167,4 +169,5 @@ def induction_config(config: Config) -> Config:
 
 def cluster_semantics(alpha: float) -> dict[str, Any]:
     """What may be claimed about the clusters' effect: never by configuration alone; unmeasured unless alpha is 0."""
-    return {"alpha": alpha, "cb_claim_eligible": False, "cb_contribution_measured": None if alpha > 0 else False}
+    reason = "no run with alpha 0 on the same split was compared" if alpha > 0 else "alpha is 0: clusters do not enter predictions"
+    return {"alpha": alpha, "cluster_contribution_config_enabled": alpha > 0, "cluster_contribution_measured": None if alpha > 0 else False, "cb_claim_eligible": False, "cb_contribution_measured": None if alpha > 0 else False, "claim_gate_reason": reason}

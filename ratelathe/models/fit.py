@@ -46,7 +46,7 @@ class Indices:
     clusters: Clusters | None = None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     """A fitted model: its parameters and the indices that its user contexts are made of."""
 

@@ -1,12 +1,14 @@
 """Predictions of a fitted model, as joins with its parameter tables.
 
 Each user's context is computed once (``contexts``), each item's vector once (``item_vectors``); a prediction is then two
-joins and a dot product, however many pairs are asked for.
+joins and a dot product, however many pairs are asked for. A model that predicts again keeps both, stored, as long as it
+lives (``kept``); a new fit is a new model.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,20 @@ from pyspark.sql import functions as F
 from ratelathe.functions import vectors
 from ratelathe.functions.scalars import clipped
 from ratelathe.models.fit import Model
-from ratelathe.session import broadcast_if_small
+from ratelathe.session import broadcast_if_small, cut
+
+#: Contexts and item vectors of models that have predicted before; None after the first time.
+_KEPT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def kept(model: Model) -> tuple[DataFrame, DataFrame]:
+    """The model's contexts and item vectors: lazy ones at its first use, stored ones from the second on."""
+    if model not in _KEPT:
+        _KEPT[model] = None
+        return contexts(model), item_vectors(model)
+    if _KEPT[model] is None:
+        _KEPT[model] = (cut(contexts(model)), cut(item_vectors(model)))
+    return _KEPT[model]
 
 
 def item_vectors(model: Model) -> DataFrame:
@@ -37,31 +52,33 @@ def _sum_over(pairs: DataFrame, weight) -> DataFrame:  # noqa: ANN001
     return scaled.groupBy("user_idx").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("total"))
 
 
-def contexts(model: Model) -> DataFrame:
-    """``user_idx, user_bias, z``: each user's bias and context vector, from the final parameters."""
+def contexts(model: Model, asked: DataFrame | None = None) -> DataFrame:
+    """``user_idx, user_bias, z``: each user's bias and context vector, from the final parameters; only of the distinct
+    users ``asked`` for (``user_idx``) if given, whose lists alone are then read."""
     config, parts, ix = model.config, model.config.parts, model.indices
+    of = lambda df: df if asked is None else df.join(asked, "user_idx", "left_semi")
     own, alpha = (1 - config.alpha, config.alpha) if ix.clusters else (1.0, 0.0)
-    bias = model.table("bu", "user_idx").select("user_idx", F.col("f")[0].alias("user_bias"))
+    bias = of(model.table("bu", "user_idx")).select("user_idx", F.col("f")[0].alias("user_bias"))
     sums = []
     if "p" in parts:
-        p = model.table("p", "user_idx")
+        p = of(model.table("p", "user_idx"))
         sums.append(p.select("user_idx", vectors.scaled(F.col("f"), F.lit(own)).alias("total")))
     if ix.clusters:
-        pc = ix.clusters.users.join(model.table("pC", "cluster_id"), "cluster_id")
+        pc = of(ix.clusters.users).join(model.table("pC", "cluster_id"), "cluster_id")
         sums.append(pc.select("user_idx", vectors.scaled(F.col("f"), F.lit(alpha)).alias("total")))
     if "x" in parts:
         item_bias = model.table("bi", "item_idx").select("item_idx", F.col("f")[0].alias("item_bias"))
-        pairs = ix.explicit.select("user_idx", "norm", F.explode("feedback").alias("e")).select("user_idx", "norm", "e.*").join(bias, "user_idx").join(item_bias, "item_idx")
+        pairs = of(ix.explicit).select("user_idx", "norm", F.explode("feedback").alias("e")).select("user_idx", "norm", "e.*").join(bias, "user_idx").join(item_bias, "item_idx")
         weight = F.col("norm") * (F.col("rating") - (F.lit(model.mean) + F.col("user_bias") + F.col("item_bias")))
         weighted = pairs.select("user_idx", "item_idx", weight.alias("w"))
         sums.append(_sum_over(weighted.join(model.table("x", "item_idx"), "item_idx"), F.col("w") * own))
         if ix.clusters:
             sums.append(_sum_over(weighted.join(ix.clusters.items, "item_idx").join(model.table("xC", "cluster_id"), "cluster_id"), F.col("w") * alpha))
     if "y" in parts:
-        pairs = ix.history.select("user_idx", "norm", F.explode("items").alias("item_idx"))
+        pairs = of(ix.history).select("user_idx", "norm", F.explode("items").alias("item_idx"))
         sums.append(_sum_over(pairs.join(model.table("y", "item_idx"), "item_idx"), F.col("norm") * own))
         if ix.clusters:
-            counts = ix.cluster_counts.join(ix.history.select("user_idx", "norm"), "user_idx").join(model.table("yC", "cluster_id"), "cluster_id")
+            counts = of(ix.cluster_counts).join(ix.history.select("user_idx", "norm"), "user_idx").join(model.table("yC", "cluster_id"), "cluster_id")
             sums.append(_sum_over(counts, F.col("norm") * F.col("cnt") * alpha))
     zero = F.array_repeat(F.lit(0.0), config.latent_dim)
     found = bias.withColumn("z", zero)
@@ -73,8 +90,8 @@ def contexts(model: Model) -> DataFrame:
 def predict(model: Model, pairs: DataFrame, clip: bool = True, ready: DataFrame | None = None) -> DataFrame:
     """``pairs`` (with ``user_idx, item_idx``) with ``prediction``; within the range of ratings if ``clip``. Ids that the
     model does not know are an error in no case: their prediction is null. ``ready`` are contexts stored before."""
-    users = ready if ready is not None else contexts(model)
-    joined = pairs.join(users, "user_idx", "left").join(broadcast_if_small(item_vectors(model), 100_000), "item_idx", "left")
+    users, items = (ready, item_vectors(model)) if ready is not None else kept(model)
+    joined = pairs.join(users, "user_idx", "left").join(broadcast_if_small(items, 100_000), "item_idx", "left")
     raw = F.lit(model.mean) + F.col("user_bias") + F.col("item_bias") + vectors.dot(F.col("z"), F.col("v"))
     if clip:
         raw = clipped(raw, F.lit(model.rating_min), F.lit(model.rating_max))

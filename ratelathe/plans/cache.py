@@ -12,6 +12,8 @@ import os
 import shutil
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelathe.sources.processed import read_json, write_json
@@ -49,9 +51,12 @@ def cached(spark: SparkSession, root: str, kind: str, identity: dict, make: Call
     try:
         held = read_json(os.path.join(folder, "identity.json"))
         if held["identity"] == identity:
-            return {name: spark.read.parquet(os.path.join(folder, name)) for name in held["tables"]}, "hit"
-    except Exception:  # noqa: BLE001 - whatever is wrong with an entry, it is no hit
-        pass
+            tables = {name: spark.read.parquet(os.path.join(folder, name)) for name in held["tables"]}
+            for df in tables.values():
+                df.write.format("noop").mode("overwrite").save()  # reads all of it
+            return tables, "hit"
+    except (OSError, ValueError, KeyError, PySparkException, Py4JJavaError):
+        pass  # a missing, foreign or broken entry is no hit
     shutil.rmtree(folder, ignore_errors=True)
     tables = make()
     for name, df in tables.items():

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import time
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def resolve_split(spark: SparkSession, data: Ratings, plan: SplitPlan, fold_ids:
     return splits.as_parts(cut(tables["split"].select("row_id", "user_idx", "item_idx", "rating", "split")), data), state
 
 
-def resolve_indices(spark: SparkSession, train: Ratings, config: cfg.Config, profile, root: str, policy: str, identity: dict, stages: runtime.Stages) -> tuple[fit.Indices, dict[str, str]]:  # noqa: ANN001
+def resolve_indices(spark: SparkSession, train: Ratings, config: cfg.Config, profile, root: str, policy: str, cluster_policy: str, identity: dict, stages: runtime.Stages) -> tuple[fit.Indices, dict[str, str]]:  # noqa: ANN001
     """What the model needs, in the order of dependence: clusters, history, explicit feedback, cluster counts."""
     needs, state, found = cfg.requirements(config.model), {}, {}
     if needs.clusters:
@@ -65,7 +67,7 @@ def resolve_indices(spark: SparkSession, train: Ratings, config: cfg.Config, pro
                 facts = spark.createDataFrame([(k.train_rmse, k.user_inertia, k.item_inertia)], "train_rmse double, user_inertia double, item_inertia double")
                 return {"users": cut(k.users), "items": cut(k.items), "r_star": cut(k.r_star), "facts": facts}
 
-            t, state["cluster_artifacts"] = cache.cached(spark, root, "cb_clusters", of, induce, policy)
+            t, state["cluster_artifacts"] = cache.cached(spark, root, "cb_clusters", of, induce, cluster_policy)
             facts = t["facts"].first()
             found["clusters"] = cl.Clusters(t["users"], t["items"], t["r_star"], c.n_user_clusters, c.n_item_clusters, *facts)
     if needs.history:
@@ -78,7 +80,7 @@ def resolve_indices(spark: SparkSession, train: Ratings, config: cfg.Config, pro
             found["explicit"] = cut(t["explicit"])
     if needs.clusters:
         with stages.stage("user_cluster_history_index"):
-            t, state["user_cluster_history_index"] = cache.cached(spark, root, "uch", of, lambda: {"counts": hist.cluster_counts(found["history"], found["clusters"].items)}, policy)
+            t, state["user_cluster_history_index"] = cache.cached(spark, root, "uch", of, lambda: {"counts": hist.cluster_counts(found["history"], found["clusters"].items)}, cluster_policy)
             found["cluster_counts"] = cut(t["counts"])
     return fit.Indices(**found), state
 
@@ -100,27 +102,77 @@ def clustering_payload(indices: fit.Indices, n_users: int) -> dict | None:
     }
 
 
+def missing_artifacts(indices: fit.Indices) -> list[str]:
+    """What a clustering-based model should have been fitted with and was not."""
+    have = {"cluster_artifacts": indices.clusters, "user_history_index": indices.history, "user_cluster_history_index": indices.cluster_counts}
+    return [name for name, found in have.items() if found is None]
+
+
 def cluster_diagnostics(model: fit.Model, rows: DataFrame) -> dict | None:
-    """What the clusters do to predictions and vectors, on an evenly spread sample of the rows; None for a model without."""
-    if model.indices.clusters is None:
+    """What the clusters do to predictions and vectors, on an evenly spread sample of the rows, and what is missing to
+    tell; None for a model without clusters. The names of the fields are those of a run record: fixed values."""
+    if "pC" not in model.config.parts:
         return None
-    sample = cut(spread_sample(rows, ["row_id"]))
-    shift = scoring.cluster_contribution(model, sample).first().asDict()
-    table = lambda part: model.table(part, "id")
-    entity = [table(p) for p in model.config.parts if "C" not in p]
-    cluster = [table(p) for p in model.config.parts if "C" in p]
-    norms = {"entity_norm_mean": vectors.mean_length(*entity).first()[0], "cluster_norm_mean": vectors.mean_length(*cluster).first()[0]}
-    norms["cluster_to_entity_norm_ratio"] = norms["cluster_norm_mean"] / norms["entity_norm_mean"] if norms["entity_norm_mean"] else None
-    each = {f"{p}_norm_mean": vectors.mean_length(table(p)).first()[0] for p in model.config.parts}
-    own = cfg.cluster_semantics(model.config.alpha) | {"cb_contribution_measured": bool(shift["measured"])}
-    return own | shift | norms | each | (clustering_payload(model.indices, model.n_users) or {}) | {"sample_rows": sample.count(), "diagnostic_claim_ready": bool(shift["measured"])}
-
-
-def run(spark: SparkSession, data: Ratings, profile_payload: dict, plan: SplitPlan, *, seed: int = 1, out_dir: str | None = None, fold_ids: DataFrame | None = None, evaluate_test: bool = True, cache_policy: str = "auto", cache_dir: str = "artifacts/cache", command: str = "") -> Result:
+    own, k, warnings, shift, sampled = cfg.cluster_semantics(model.config.alpha), model.indices.clusters, [], {}, 0
+    try:
+        sample = cut(spread_sample(rows, ["row_id"]))
+        shift, sampled = scoring.cluster_contribution(model, sample).first().asDict(), sample.count()
+    except (PySparkException, Py4JJavaError, AttributeError) as e:
+        warnings.append(f"the contribution of clusters was not measured: {type(e).__name__}: {e}"[:500])
+    have = {r["part"] for r in model.parameters.select("part").distinct().collect()}
+    norm = lambda *parts: vectors.mean_length(*[model.table(p, "id") for p in parts]).first()[0] if have.issuperset(parts) else None
+    entity, cluster = norm("p", "q"), norm("pC", "qC")
+    ratio = cluster / entity if entity and cluster is not None else None
+    shapes = clustering_payload(model.indices, model.n_users) if not missing_artifacts(model.indices) else None
+    users, items, grid = (shapes[x] for x in ("user_clusters", "item_clusters", "r_star")) if shapes else ({}, {}, {})
+    return own | {
+        "effective_alpha": model.config.alpha,
+        "cluster_artifacts_present": k is not None,
+        "user_cluster_count": k and k.n_user_clusters,
+        "item_cluster_count": k and k.n_item_clusters,
+        "empty_user_clusters": users.get("empty"),
+        "empty_item_clusters": items.get("empty"),
+        "user_cluster_size_min": users.get("least"),
+        "user_cluster_size_max": users.get("most"),
+        "item_cluster_size_min": items.get("least"),
+        "item_cluster_size_max": items.get("most"),
+        "individual_factor_norm_mean": entity,
+        "cluster_factor_norm_mean": cluster,
+        "cluster_to_individual_norm_ratio": ratio,
+        "cluster_factor_norm_ratio": ratio,
+        "implicit_factor_norm_mean": norm("y"),
+        "implicit_cluster_factor_norm_mean": norm("yC"),
+        "explicit_factor_norm_mean": norm("x"),
+        "explicit_cluster_factor_norm_mean": norm("xC"),
+        "missing_expected_artifacts": missing_artifacts(model.indices),
+        "missing_expected_model_fields": [p for p in model.config.parts if p not in have],
+        "cluster_contribution_measured": bool(shift["measured"]) if shift else None,
+        "cb_contribution_measured": bool(shift["measured"]) if shift else None,
+        "average_absolute_cluster_prediction_contribution": shift.get("mean_abs_contribution"),
+        "largest_absolute_cluster_prediction_contribution": shift.get("max_abs_contribution"),
+        "diagnostic_sample_rows": sampled,
+        "diagnostic_claim_ready": False,
+        "diagnostic_warnings": warnings,
+        "r_star_density": grid.get("density"),
+        "cluster_size_distribution": {"users": users, "items": items},
+        "cluster_coverage": {"user_cluster_coverage": users.get("coverage"), "item_cluster_coverage": items.get("coverage")},
+        "clustering": shapes,
+        "alpha_zero_ablation_reference": {"available": False, "reason": "no run with alpha 0 on the same split was given"},
+    }
+
+
+def run(spark: SparkSession, data: Ratings, profile_payload: dict, plan: SplitPlan, *, seed: int = 1, out_dir: str | None = None, fold_ids: DataFrame | None = None, evaluate_test: bool = True, cache_policy: str = "auto", index_cache: str | None = None, cluster_cache: str | None = None, device: dict | None = None, cache_dir: str = "artifacts/cache", command: str = "") -> Result:
     """Runs one experiment. With ``out_dir``, a new folder there holds the manifest (started, then completed or failed),
-    the metrics, the profile and a log."""
+    the metrics, the profile and a log. ``index_cache`` and ``cluster_cache`` override the policy of all caches; asked
+    for by name where the model has no use for them, they are an error. ``device`` may name a type where the profile
+    leaves it open."""
     profile = cfg.load_profile(profile_payload)
     config = cfg.config_of(profile, seed)
+    config = replace(config, dtype=runtime.resolve_dtype({"dtype": config.dtype}, device, None))
+    needs = cfg.requirements(config.model)
+    cache.check_applicable(index_cache or "auto", needs.history or needs.explicit, "training indices")
+    cache.check_applicable(cluster_cache or "auto", needs.clusters, "clusters")
+    index_policy, cluster_policy = index_cache or cache_policy, cluster_cache or cache_policy
     stages, name = runtime.Stages(), config.model
     slug = f"{data.name}_{name}_{plan.id()}_m{seed:03d}"
     folder = artifacts.reserve_folder(out_dir, slug) if out_dir else None
@@ -150,11 +202,11 @@ def run(spark: SparkSession, data: Ratings, profile_payload: dict, plan: SplitPl
     try:
         root = cache.cache_root(cache_dir)
         with stages.stage("content"):
-            content = ops.fingerprint(data.rows, ["row_id", "user_idx", "item_idx", "rating"]) if cache_policy == "on" else ""
+            content = ops.fingerprint(data.rows, ["row_id", "user_idx", "item_idx", "rating"]) if "on" in (cache_policy, index_policy, cluster_policy) else ""
         with stages.stage("split"):
             parts, split_state = resolve_split(spark, data, plan, fold_ids, root, cache_policy, content)
         identity = {"content": content, "split": plan.id(), "dtype": config.dtype}
-        indices, states = resolve_indices(spark, parts["train"], config, profile, root, cache_policy, identity, stages)
+        indices, states = resolve_indices(spark, parts["train"], config, profile, root, index_policy, cluster_policy, identity, stages)
         with runtime.peak_memory() as memory, stages.stage("main_training"):
             model = fit.fit(parts["train"], config, indices)
         users = cut(scoring.contexts(model))

@@ -98,6 +98,14 @@ def stage_totals(spark: SparkSession, runs: str) -> DataFrame:
     return s.groupBy("run_dir").agg(F.sum(x.lenient_number(F.col("t.wall_clock_seconds"))).alias("total_seconds"), F.max(x.lenient_number(F.col("t.rss_end_mb"))).alias("peak_rss_mb"))
 
 
+def stored(spark: SparkSession, runs: str) -> DataFrame:
+    """``run_dir, dataset, model, split, seed, status`` and the documents ``m`` (manifest) and ``s`` (metrics) of runs with both."""
+    manifests = artifacts.scan_documents(spark, runs, "run_manifest.json").withColumnRenamed("document", "m")
+    both = manifests.join(artifacts.scan_documents(spark, runs, "metrics.json").withColumnRenamed("document", "s"), "run_dir")
+    at = lambda path: x.json_at(F.col("m"), path)
+    return both.select("run_dir", at("dataset.short_name").alias("dataset"), at("model.name").alias("model"), at("split.id").alias("split"), at("model.seed").cast("int").alias("seed"), at("status").alias("status"), "m", "s")
+
+
 def find_run(rows: DataFrame, **wanted: object) -> dict:
     """The only row with these values; LookupError if there is none or more than one."""
     for column, value in wanted.items():

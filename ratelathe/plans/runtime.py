@@ -82,10 +82,19 @@ def metadata(spark: SparkSession) -> dict:
     return {"python": platform.python_version(), "platform": platform.platform(), "cpus": os.cpu_count(), "spark": spark.version, "conf": {k: spark.conf.get(k, None) for k in wanted}, "generated_at_utc": datetime.now(timezone.utc).isoformat()}
 
 
+def executors(spark: SparkSession) -> dict:
+    """Cores and storage memory of the executors that the session has now (of the driver in local mode)."""
+    context, memory = spark.sparkContext, 0
+    held = context._jsc.sc().getExecutorMemoryStatus().valuesIterator()
+    while held.hasNext():
+        memory += held.next()._1()
+    return {"cpus": context.defaultParallelism, "memory_gb": memory / 1e9}
+
+
 def assess_device(profile: dict, spark: SparkSession) -> dict:
-    """Which of a device profile's wishes (cpus, memory_gb, shuffle_partitions) this session meets."""
-    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 1e9
-    met = {"cpus": (os.cpu_count() or 0) >= profile.get("cpus", 0), "memory_gb": memory >= profile.get("memory_gb", 0)}
+    """Which of a device profile's wishes (cpus, memory_gb, shuffle_partitions) this session's executors meet."""
+    has = executors(spark)
+    met = {name: has[name] >= profile.get(name, 0) for name in ("cpus", "memory_gb")}
     if "shuffle_partitions" in profile:
         met["shuffle_partitions"] = int(spark.conf.get("spark.sql.shuffle.partitions")) == profile["shuffle_partitions"]
     return {"met": met, "satisfied": all(met.values())}

@@ -6,7 +6,9 @@ import json
 import os
 from dataclasses import asdict, replace
 from datetime import datetime, timezone
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from ratelathe.functions import metrics
 from ratelathe.functions.scalars import candidate_file, merged
 from ratelathe.models import config as cfg
 from ratelathe.operators.views import Ratings
-from ratelathe.plans import experiment, runtime
+from ratelathe.plans import experiment, reporting, runtime
 from ratelathe.plans.experiment import SplitPlan
 from ratelathe.sources import artifacts, processed
 
+#: Candidates that are fitted at once.
+AT_ONCE = 4
 RUN_SCHEMA = "unit string, seed int, fold int, validation_rmse double, test_rmse double, test_mae double, fit_seconds double, peak_mb double"
 
 
@@ -41,12 +45,13 @@ def rank_candidates(rows: DataFrame, peak_limit_mb: float | None = None) -> Data
     return g.withColumn("rank", F.row_number().over(Window.orderBy("mean_rmse", "std_rmse", "mean_seconds", "candidate_index")))
 
 
-def tune(spark: SparkSession, data: Ratings, base: dict, candidates: list[dict], plans: list[SplitPlan], *, seed: int = 1, out_dir: str | None = None, fold_ids: DataFrame | None = None, peak_limit_mb: float | None = None) -> DataFrame:
+def tune(spark: SparkSession, data: Ratings, base: dict, candidates: list[dict], plans: list[SplitPlan], *, seed: int = 1, out_dir: str | None = None, fold_ids: DataFrame | None = None, peak_limit_mb: float | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """Fits every candidate (overrides of the base profile, with a name) on every split without looking at test rows,
-    and ranks them. A candidate that exceeds the memory limit is given up at once; ValueError if none is left."""
-    rows = []
-    for number, candidate in enumerate(candidates):
-        profile = merged(base, candidate.get("overrides", {}))
+    and ranks them. Several candidates are at work at once, whose jobs share the cluster. A candidate that exceeds the
+    memory limit is given up at once; ValueError if none is left."""
+
+    def fits(number: int, candidate: dict) -> list[tuple]:
+        rows, profile = [], merged(base, candidate.get("overrides", {}))
         if out_dir:
             os.makedirs(out_dir, exist_ok=True)
             artifacts.write_yaml(os.path.join(out_dir, candidate_file(candidate["name"], number)), profile)
@@ -55,6 +60,11 @@ def tune(spark: SparkSession, data: Ratings, base: dict, candidates: list[dict],
             rows.append((number, *_row(candidate["name"], plan, seed, result)))
             if peak_limit_mb is not None and rows[-1][-1] > peak_limit_mb:
                 break
+        return rows
+
+    with ThreadPool(at_once) as pool:
+        # Jobs keep the settings of the thread that asked for them.
+        rows = [row for found in pool.starmap(inheritable_thread_target(spark)(fits), enumerate(candidates)) for row in found]
     ranked = rank_candidates(spark.createDataFrame(rows, "candidate_index int, " + RUN_SCHEMA), peak_limit_mb)
     if ranked.limit(1).count() == 0:
         raise ValueError("no candidate stays within the memory limit")
@@ -103,11 +113,37 @@ def folds(spark: SparkSession, data: Ratings, profile: dict, fold_ids: DataFrame
 
 
 def random_splits(spark: SparkSession, data: Ratings, profile: dict, split_seeds: list[int], plan: SplitPlan = SplitPlan(), **options: object) -> DataFrame:
-    """A row per split seed, the model's seed being the same as the split's."""
+    """A row per split seed, the model's seed being the same as the split's; matching runs are taken over as in ``repeated``."""
     rows = []
     for s in split_seeds:
         p = replace(plan, seed=s)
-        rows.append(_row(p.id(), p, s, experiment.run(spark, data, profile, p, seed=s, **options)))
+        found = _reused(options.get("out_dir"), data, profile, p, s)
+        rows.append(_row(p.id(), p, s, found or experiment.run(spark, data, profile, p, seed=s, **options)))
+    return spark.createDataFrame(rows, RUN_SCHEMA)
+
+
+def stored_runs(spark: SparkSession, runs: str, dataset: str, profile: dict, plans: list[SplitPlan], seeds: list[int], repository: str | None = None) -> DataFrame:
+    """The rows of ``repeated`` from runs that are stored, one for each plan and its seed. LookupError if a run is
+    missing or there are several; ValueError unless all are from the clean commit that the repository is at and have
+    the configuration of the profile."""
+    config = cfg.config_of(cfg.load_profile(profile), 0)
+    found = reporting.stored(spark, runs).filter("status = 'completed'")
+    rows, commits = [], set()
+    for plan, seed in zip(plans, seeds):
+        run = reporting.find_run(found, dataset=dataset, model=config.model, split=plan.id(), seed=seed)
+        manifest, result = json.loads(run["m"]), json.loads(run["s"])
+        wanted = json.loads(json.dumps(asdict(replace(config, seed=seed)) | {"penalties": dict(config.penalties)}))
+        if manifest["model"]["config"] != wanted:
+            raise ValueError(f"{run['run_dir']} has another configuration")
+        if not manifest["git"].get("clean"):
+            raise ValueError(f"{run['run_dir']} is not from a clean commit")
+        commits.add(manifest["git"]["commit"])
+        rows.append(_row(plan.id(), plan, seed, experiment.Result(run["run_dir"], result, manifest, None)))
+    if len(commits) > 1:
+        raise ValueError(f"the runs are from several commits: {sorted(commits)}")
+    state = runtime.git_state(repository or runs)
+    if commits != {state["commit"]} or not state["clean"]:
+        raise ValueError("the runs are not from the commit that the repository is at")
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 

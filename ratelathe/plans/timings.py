@@ -48,7 +48,7 @@ def context_reuse(model: fit.Model, rows: DataFrame, size: int, times: int, repe
     queries = cut(repeated_prefix(rows, size, times).select("row_id", "repeat", "user_idx", "item_idx"))
     ready, asked = cut(scoring.contexts(model)), queries.select("user_idx").distinct()
     full = lambda: scoring.predict(model, queries, True, ready)
-    unique = lambda: scoring.predict(model, queries, True, scoring.contexts(model).join(asked, "user_idx", "left_semi"))
+    unique = lambda: scoring.predict(model, queries, True, scoring.contexts(model, asked))
     keys = ["row_id", "repeat"]
     gap = full().select(*keys, F.col("prediction").alias("a")).join(unique().select(*keys, F.col("prediction").alias("b")), keys).agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
     spark = rows.sparkSession

@@ -253,12 +253,12 @@ def test_predictions(spark, data):
 def profile(name, **training):
     base = {"latent_dim": 4, "epochs": 2, "learning_rate": 0.01, "lambda_b": 0.02, "init_std": 0.1, "dtype": "float32"} | {f"lambda_{p}": 0.02 for p in cfg.PARTS[name].split()}
     if "y" in cfg.PARTS[name].split():
-        base["implicit_policy"] = "train_items"
+        base["implicit_policy"] = "ratings_as_implicit"
     if "x" in cfg.PARTS[name].split():
         base["residual_weight_contract"] = "detached"
     if name in ("biased_mf", "svdpp"):
         base["training_backend"] = "auto"
-    found = {"metadata": {"status": "active", "owner": "tests", "purpose": "test"}, "model": {"name": name, "family": "mf", "scope": "explicit"}, "notes": [], "training": base | training}
+    found = {"metadata": {"status": "active", "owner": "tests", "purpose": "test"}, "model": {"name": name, "family": "mf", "scope": "paper_inspired"}, "notes": [], "training": base | training}
     if "cb" in name:
         found["clustering"] = {"n_user_clusters": 2, "n_item_clusters": 2, "alpha": 0.2, "algorithm": "kmeans", "kmeans_n_init": 1}
     return found
@@ -278,6 +278,10 @@ def test_profiles():
     del missing["training"]["lambda_x"]
     outside = profile("cb_svdpp")
     outside["clustering"]["alpha"] = 1.5
+    half = profile("cb_svdpp")
+    del half["clustering"]["kmeans_n_init"]
+    scope = profile("svdpp") | {"model": {"name": "svdpp", "family": "mf", "scope": "any"}}
+    wrong += [half, scope, profile("svdpp", implicit_policy="other"), profile("asvdpp", residual_weight_contract="other"), profile("biased_mf", training_backend="gpu")]
     for payload in [*wrong, missing, outside]:
         with pytest.raises(ValueError):
             cfg.load_profile(payload)

@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def test_every_model_runs(spark, data, name, tmp_path):
     diagnostics = result.metrics["cb_diagnostics"]
     assert (diagnostics is None) == ("cb" not in name)
     if diagnostics:
-        assert diagnostics["cb_claim_eligible"] is False and diagnostics["r_star"]["pairs"] == 4
+        assert diagnostics["cb_claim_eligible"] is False and diagnostics["clustering"]["r_star"]["pairs"] == 4
+        assert diagnostics["missing_expected_artifacts"] == [] == diagnostics["missing_expected_model_fields"] and diagnostics["diagnostic_warnings"] == []
         again = experiment.run(spark, data, profile(name, latent_dim=2, epochs=1), PLAN, cache_policy="on", cache_dir=str(tmp_path / "cache"))
         assert set(again.metrics["caches"].values()) == {"hit"}
         assert again.metrics["metrics"]["test_rmse"] == pytest.approx(m["test_rmse"])
@@ -135,6 +137,41 @@ def test_runs_of_a_clean_commit_are_reused(spark, data, tmp_path):
     studies.repeated(spark, data, base, [PLAN], [2], out_dir=str(tmp_path))
     assert len(os.listdir(tmp_path)) == runs + 1
 
+    # Stored runs are aggregated without a fit, if they are complete, alone, of one clean commit and the same profile.
+    stored = studies.stored_runs(spark, str(tmp_path), data.name, base, [PLAN, PLAN], [1, 2])
+    assert tuple(stored.orderBy("seed").first()) == tuple(first) and stored.count() == 2
+    assert len(os.listdir(tmp_path)) == runs + 1
+    with pytest.raises(LookupError, match="no run"):
+        studies.stored_runs(spark, str(tmp_path), data.name, base, [PLAN], [3])
+    with pytest.raises(ValueError, match="another configuration"):
+        studies.stored_runs(spark, str(tmp_path), data.name, profile("biased_mf", latent_dim=2, epochs=2), [PLAN], [1])
+    folders = {processed.read_json(os.path.join(tmp_path, n, "run_manifest.json"))["model"]["seed"]: tmp_path / n for n in os.listdir(tmp_path) if os.path.exists(tmp_path / n / "metrics.json")}
+    shutil.copytree(folders[1], tmp_path / "twice")
+    with pytest.raises(LookupError, match="several"):
+        studies.stored_runs(spark, str(tmp_path), data.name, base, [PLAN], [1])
+    shutil.rmtree(tmp_path / "twice")
+    manifest = processed.read_json(str(folders[2] / "run_manifest.json"))
+    for changed, match in (({"clean": False}, "clean"), ({"commit": "other"}, "several commits")):
+        processed.write_json(str(folders[2] / "run_manifest.json"), manifest | {"git": manifest["git"] | changed})
+        with pytest.raises(ValueError, match=match):
+            studies.stored_runs(spark, str(tmp_path), data.name, base, [PLAN, PLAN], [1, 2])
+    git("commit", "--allow-empty", "-m", "y")
+    with pytest.raises(ValueError, match="repository is at"):
+        studies.stored_runs(spark, str(tmp_path), data.name, base, [PLAN], [1])
+
+
+def test_caches_asked_for_without_use(spark, data):
+    for option in ("index_cache", "cluster_cache"):
+        with pytest.raises(ValueError, match="does not apply"):
+            experiment.run(spark, data, profile("biased_mf", latent_dim=2, epochs=1), PLAN, **{option: "on"})
+
+
+def test_diagnostics_say_what_is_missing(spark, data):
+    bare = fit.Model(cfg.Config("cb_svdpp", 2, 1, alpha=0.2), spark.createDataFrame([], fit.PARAMETERS), 3.0, 1.0, 5.0, data.n_users, data.n_items, fit.Indices())
+    found = experiment.cluster_diagnostics(bare, data.rows)
+    assert found["missing_expected_artifacts"] == ["cluster_artifacts", "user_history_index", "user_cluster_history_index"]
+    assert found["missing_expected_model_fields"] == ["p", "q", "y", "pC", "qC", "yC"] and found["diagnostic_warnings"] and found["cluster_contribution_measured"] is None
+
 
 def test_ranking_order(spark):
     rows = spark.createDataFrame([("a", 0, 1.0, 5.0, 1.0), ("a", 0, 1.0, 5.0, 1.0), ("b", 1, 1.0, 4.0, 1.0), ("c", 2, 0.9, 9.0, 99.0)], "unit string, candidate_index int, validation_rmse double, fit_seconds double, peak_mb double")
