@@ -167,12 +167,12 @@ def _one_language(read: str, encoding: str) -> bool:
     return not kana and all("\u4e00" <= x <= "\u9fff" for x in read)
 
 
-def _double_bytes(text: str) -> tuple[str, bool]:
-    """``text`` with its spans of double bytes decoded where one encoding alone gives writing, and whether it has any."""
-    found = False
+def _double_bytes(text: str) -> tuple[str, int]:
+    """``text`` with its spans of double bytes decoded where one encoding alone gives writing, and the characters in them."""
+    covered = 0
 
     def read(m: re.Match) -> str:
-        nonlocal found
+        nonlocal covered
         seen = m.group()
         signs = any(not x.isalpha() for x in seen[1:] if x not in FOLLOWS_LETTER)
         flips = any(x.islower() and y.isupper() for x, y in zip(seen, seen[1:]))
@@ -191,18 +191,15 @@ def _double_bytes(text: str) -> tuple[str, bool]:
                 continue
             if 2 * len(decoded) == len(raw) and all(any(lo <= x <= hi for lo, hi in leads) for x in raw[::2]) and _one_language(decoded, encoding):
                 fits.append(decoded)
-        found |= bool(fits)
+        covered += len(seen) if fits else 0
         return fits[0] if len(set(fits)) == 1 else seen
 
-    return PAIRS.sub(read, text), found
+    return PAIRS.sub(read, text), covered
 
 
 def restore(text: str) -> str | None:
     """``text`` with its multibyte spans decoded; null if it has none. Each round takes the encoding whose spans cover
     most characters; it ends as each round makes the text shorter."""
-    found, has = _double_bytes(text)
-    if has:
-        return found
     found = None
     while not text.isascii():
         best, covered = "", 0
@@ -210,6 +207,9 @@ def restore(text: str) -> str | None:
             result, n = _decode_spans(text, encoding)
             if n > covered:
                 best, covered = result, n
+        other, n = _double_bytes(text)
+        if n > covered:
+            return other
         if not covered:
             break
         found = text = best

@@ -74,6 +74,7 @@ def test_every_span_passes_the_pattern(spark):
 
 
 def test_spoilt_twice_and_in_part():
+    assert mojibake.restore("╬£╬╣╬▒ ╬æ¤à╬╗╬« ¤â¤ä╬┐ ¤å¤ë¤é") == "Μια Αυλή στο φως"
     assert mojibake.restore(spoil(spoil("Canción", "cp1252"), "cp1252")) == "Canción"
     assert mojibake.restore("año y niÃ±o") == "año y niño"
 
