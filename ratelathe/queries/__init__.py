@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "reference")
+MODULES = ("problems", "reference", "roundtrips")
 
 
 def _merged(name: str) -> dict:

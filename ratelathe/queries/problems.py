@@ -103,7 +103,19 @@ m AS (SELECT * FROM (SELECT line_id, CASE WHEN file_name = 'movies.csv' THEN m.a
      WHERE id <> '' AND regexp_matches(title, '[^\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]'))
 """.replace("{csv}", _CSV_RATING).replace("{dat}", _DAT_RATING).replace("{movie}", _CSV_MOVIE).replace("{id}", _ID).replace("{{", "{").replace("}}", "}")
 
+# The first reason that holds, again with fields taken apart by DuckDB's functions.
+_F = '(?:"(?:[^"]|"")*"|[^",]*)'
+_REASONS = """
+, s AS (SELECT line_id, file_name, line, file_name LIKE 'ratings.%' AS rating, CASE WHEN file_name LIKE '%.csv' THEN regexp_full_match(line, '{f}(?:,{f})*') ELSE true END AS quoting,
+    CASE WHEN file_name LIKE '%.csv' THEN list_transform(regexp_extract_all(',' || line, ',({f})', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, len(x) - 2), '""', '"') ELSE x END) ELSE string_split(line, '::') END AS f FROM l)
+SELECT line_id, CASE WHEN file_name IS NULL OR file_name NOT IN ('ratings.csv', 'movies.csv', 'ratings.dat', 'movies.dat') THEN 'unknown file' WHEN line IS NULL THEN 'missing line'
+  WHEN NOT regexp_matches(line, '[^\\s\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]') THEN 'blank line' WHEN NOT quoting THEN 'broken quoting' WHEN len(f) <> CASE WHEN rating THEN 4 ELSE 3 END THEN 'wrong column count'
+  WHEN rating AND NOT regexp_full_match(f[1], '{id}') THEN 'invalid user id' WHEN NOT regexp_full_match(f[CASE WHEN rating THEN 2 ELSE 1 END], '{id}') THEN 'invalid movie id'
+  WHEN rating AND NOT regexp_full_match(f[3], '{stars}') THEN 'invalid rating' WHEN rating AND NOT regexp_full_match(f[4], '{num}') THEN 'invalid timestamp' ELSE 'blank title' END AS reason
+FROM s WHERE line_id NOT IN (SELECT line_id FROM r UNION ALL SELECT line_id FROM m)""".replace("{f}", _F).replace("{id}", _ID).replace("{stars}", _STARS).replace("{num}", _NUM)
+
 SQL = {
+    "p6_rejected": _LINES + _REASONS,
     "p1_found": f"SELECT raw_user_id, session_start FROM ({_SESSIONS.format(gap=SESSION_GAP)})",
     "p1_sessions": _SESSIONS.format(gap=SESSION_GAP),
     "p1_gap_settings": " UNION ALL ".join(_SUMMARY.format(gap=g, sessions=_SESSIONS.format(gap=g)) for g in GAPS),

@@ -311,11 +311,11 @@ def scored(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.predict(given_model(spark, d, name), d.rows).select("row_id", "prediction"))
 
 
-def _scored_sql(name: str) -> str:
+def _scored_sql(name: str, alpha: float = ALPHA, clip: bool = True) -> str:
     parts, own, a = cfg.PARTS[name].split(), 1.0, 0.0
     clustered = "pC" in parts
     if clustered:
-        own, a = 1 - ALPHA, ALPHA
+        own, a = 1 - alpha, alpha
     number = {p: n for n, p in enumerate(["bu", "bi", "p", "q", "x", "y", "pC", "qC", "xC", "yC"])}
     f = lambda part, k, of: f"((({of}) * {7 + number[part]} + {k * 3 + number[part]}) % 11 - 5) / 13.0::DOUBLE"
     uc, ic = f"user_idx % {USER_CLUSTERS}", f"item_idx % {ITEM_CLUSTERS}"
@@ -336,7 +336,7 @@ def _scored_sql(name: str) -> str:
         z.append(f"{q} * ({' + '.join(terms)})")
     joins = " ".join(f"JOIN {c}s USING (user_idx)" for c in "xy" if c in parts)
     raw = f"3.5 + {f('bu', 0, 'user_idx')} + {f('bi', 0, 'item_idx')} + " + " + ".join(z)
-    return BASE + ctes + f", b AS (SELECT min(rating) AS lo, max(rating) AS hi FROM x) SELECT row_id, round(greatest(lo, least(hi, {raw})), 6) AS prediction FROM x JOIN hn USING (user_idx) {joins}, b"
+    return BASE + ctes + f", b AS (SELECT min(rating) AS lo, max(rating) AS hi FROM x) SELECT row_id, round({f"greatest(lo, least(hi, {raw}))" if clip else raw}, 6) AS prediction FROM x JOIN hn USING (user_idx) {joins}, b"
 
 
 for _number, _name in enumerate(cfg.PARTS, 1):

@@ -53,8 +53,10 @@ def required(spark: SparkSession, folder: str, name: str) -> str:
 
 
 def line_count(spark: SparkSession, path: str, header: bool = False) -> int:
-    """Lines that are not empty (white space counts as content), less one for a header, at least 0."""
-    return max(spark.read.text(path).filter(F.col("value") != "").count() - header, 0)
+    """Lines that are not empty (white space counts as content), less one a file for a header, at least 0."""
+    lines = spark.read.text(path).filter(F.col("value") != "").select(F.input_file_name().alias("file"))
+    n, files = lines.agg(F.count("*"), F.countDistinct("file")).first()
+    return n - files * header
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str]) -> None:
@@ -83,9 +85,11 @@ def _schema(fields: list[str]) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, fields: list[str], sep: str = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """Typed rows of a delimited file, quotes doubled inside quotes; a wrong header or a malformed row fails."""
+    """Typed rows of a delimited file, quotes doubled inside quotes; a wrong header or a malformed row fails. An empty
+    text field is an empty text (Spark's reader gives null for it, quoted or not)."""
     options = {"sep": sep, "header": header, "mode": "FAILFAST", "enforceSchema": False, "encoding": encoding, "escape": '"', "quote": '"' if sep == "," else "", "emptyValue": "", "nullValue": "\u0000"}
-    return spark.read.options(**options).schema(_schema(fields)).csv(path)
+    df = spark.read.options(**options).schema(_schema(fields)).csv(path)
+    return df.select(*[F.coalesce(c, F.lit("")).alias(c) if kind == "string" else c for c, kind in df.dtypes])
 
 
 def read_double_colon(spark: SparkSession, path: str, fields: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
@@ -134,7 +138,7 @@ def read_movies(spark: SparkSession, folder: str, layout: str) -> DataFrame:
         names = read_genres(spark, folder)
         lines = spark.read.options(sep="|", quote='"', encoding="ISO-8859-1", mode="FAILFAST", nullValue="\u0000", emptyValue="").schema(", ".join(f"c{k} string" for k in range(5 + len(names)))).csv(path)
         flags = F.array(*[F.col(f"c{k}") for k in range(5, 5 + len(names))])
-        return lines.select(F.col("c0").cast("int").alias("raw_item_id"), F.col("c1").alias("title"), genres_of_flags(flags, names).alias("genres"))
+        return lines.select(F.col("c0").cast("int").alias("raw_item_id"), F.coalesce("c1", F.lit("")).alias("title"), genres_of_flags(flags, names).alias("genres"))
     fields = HEADERS["movies"]
     df = read_delimited(spark, path, fields) if layout == "modern_csv" else read_double_colon(spark, path, fields)
     return df.select(F.col("movieId").alias("raw_item_id"), "title", "genres")
