@@ -230,3 +230,15 @@ def test_fingerprint(spark):
     assert ops.fingerprint(x, names) != ops.fingerprint(x.withColumn("rating", F.col("rating") + 1), names)
     assert ops.fingerprint(x, names) != ops.fingerprint(x.unionByName(x), names)
     assert ops.checksum(x).first()[0] == 5.0 and ops.checksum(x.limit(0)).first()[0] == 0.0
+
+
+def test_fingerprint_of_many_rows(spark):
+    # Sums of 40 bits a row leave the range of a bigint from 2 ** 23 rows on.
+    x = spark.range(20_000_000)
+    assert ops.fingerprint(x, ["id"]) != ops.fingerprint(x.filter("id > 0"), ["id"])
+
+
+def test_fingerprint_keeps_its_value(spark):
+    # Stored caches are named by it.
+    x = spark.range(5).selectExpr("id AS row_id", "cast(id AS int) AS user_idx")
+    assert ops.fingerprint(x, ["row_id", "user_idx"]) == "5f303ca4aa139c883b71eafc01ae87412f6aa2dbe1479b71eb44c679e7632602"
