@@ -12,7 +12,7 @@ stay), gives up the width of signs and spaces, composes accents and Hangul lette
 letters of different scripts that look alike as one of them. Which letters do is taken from the confusables of Unicode's
 security data (UTS 39), as the ICU library within Spark has them, for letters of one case in the scripts of ``SCRIPTS``;
 likenesses within ASCII or of digits and signs do not count, nor those of ``NOT_ALIKE``. Where that library is missing,
-the letters of ``CYRILLIC`` and ``GREEK`` alone count.
+nothing is compared: fewer likenesses would look like fewer look-alikes.
 """
 
 from __future__ import annotations
@@ -55,19 +55,19 @@ SYLLABLES = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?|[\x{ac0
 
 
 @lru_cache
-def _alike(spark: SparkSession | None) -> dict[int, str]:
+def _alike(spark: SparkSession) -> dict[int, str]:
     """Letters with the one of their look that stands for them. Letters of one look and case form a class; its ASCII
-    letter stands for it if it has one, else a Cyrillic one, else the first."""
+    letter stands for it if it has one, else a Cyrillic one, else the first. RuntimeError without the ICU library."""
     held = dict(zip(map(ord, CYRILLIC + GREEK + NUMERALS), CYRILLIC_AS + GREEK_AS + NUMERALS_AS)) | {ord(x): "-" for x in HYPHENS}
     try:
         checker = getattr(spark._jvm.com.ibm.icu.text.SpoofChecker, "Builder")().build()
-        letters = [chr(k) for k in range(0x41, 0x7B) if chr(k).isalpha()] + list(LATIN_ALIKE) + [chr(k) for lo, hi in SCRIPTS.values() for k in range(lo, hi + 1)]
-        letters = [x for x in letters if unicodedata.category(x) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFKD", x) == x and x not in NOT_ALIKE]
-        looks = checker.getSkeleton("\n".join(letters)).split("\n")
-    except (AttributeError, TypeError):
-        return held
+    except (AttributeError, TypeError) as e:
+        raise RuntimeError("letters that look alike are taken from the ICU library (icu4j) of Spark's own JVM, which this session lacks") from e
+    letters = [chr(k) for k in range(0x41, 0x7B) if chr(k).isalpha()] + list(LATIN_ALIKE) + [chr(k) for lo, hi in SCRIPTS.values() for k in range(lo, hi + 1)]
+    letters = [x for x in letters if unicodedata.category(x) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFKD", x) == x and x not in NOT_ALIKE]
+    looks = checker.getSkeleton("\n".join(letters)).split("\n")
     classes: dict[tuple[str, str], list[str]] = {}
-    for x, look in zip(letters, looks):
+    for x, look in zip(letters, looks, strict=True):
         if len(look) == 1 and unicodedata.category(look)[0] == "L":
             classes.setdefault((look, unicodedata.category(x)), []).append(x)
     for members in classes.values():
@@ -94,7 +94,7 @@ def _pieces_of(ch: str, alike: dict[int, str]) -> str:
 
 
 @lru_cache
-def _tables(spark: SparkSession | None) -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, str, str]], str]:
+def _tables(spark: SparkSession) -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, str, str]], str]:
     """Characters with what they stand for and the marks' classes (only those that are not merely themselves); pairs of
     characters with the one they compose; and the ranges of common characters that keep their form."""
     stands, composed, alike = [], [], _alike(spark)

@@ -241,3 +241,8 @@ def test_containers(spark):
             assert len(p) == max(1, -(-s // 1_024))
         assert len(filled) <= 1.03 * sum(max(s or 0, 0) for s in sizes) / 1_024 + 6
     assert packing.fill_containers(df.limit(0), "doc", "size", 1_024).count() == 0
+
+
+def test_look_alikes_need_the_library():
+    with pytest.raises(RuntimeError, match="ICU"):
+        lookalikes._alike(None)
