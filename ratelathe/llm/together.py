@@ -13,6 +13,8 @@ baskets, since a pair's ratio to chance is at most (all baskets) / (baskets with
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from ratelathe.session import broadcast_if_small, cut
 
 #: Items in a chunk; a larger basket is split. Baskets of one item above which the item's stripes are split, too.
 BLOCK_ITEMS, KEY_BASKETS = 1_024, 1_000_000
+#: Pairs that a task sorts at once.
+TALLY_PAIRS = 4_000_000
 
 
 def _products(sides: DataFrame) -> DataFrame:
@@ -52,8 +56,7 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_r
     chunks = cut(chunks.groupBy("basket", "chunks", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     alone = chunks.select("basket", F.col("ids").alias("left"), F.expr("cast(null as array<int>)").alias("right"))
     stripes = _products(alone.unionByName(_chunk_pairs(chunks.filter("chunks is not null"))))
-    counted = _count(stripes, ids, top, key_baskets)
-    return _scores(counted.filter(F.col("together") >= min_count), ids, n, min_ratio)
+    return _scores(_count(stripes, ids, top, max(1, min_count), key_baskets), ids, n, min_ratio)
 
 
 def _chunk_pairs(chunks: DataFrame) -> DataFrame:
@@ -68,15 +71,59 @@ def _chunk_pairs(chunks: DataFrame) -> DataFrame:
     return met.filter("left is not null and right is not null").select("basket", "left", "right")
 
 
-def _count(stripes: DataFrame, ids: DataFrame, top: int, key_baskets: int) -> DataFrame:
-    """``x, y, together``. The final count needs no second shuffle, as rows with one x are together already; unless an
-    item has more baskets than ``key_baskets``: then those items' stripes are counted in several parts first."""
+def _tally(least: int):  # noqa: ANN202
+    """For mapInArrow over stripes ``x, ys`` sorted by x: ``x, y, together`` of every pair with ``least`` stripes or
+    more. Pairs are sorted as numbers, a bounded number of them at a time; what is not yet counted to its end is at most
+    an item's pairs."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        keys, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            found = np.sort(np.concatenate([np.zeros(0, np.int64), *waiting]))
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            found, n = found[starts], np.diff(np.append(starts, len(found)))
+            if not len(keys):
+                return found, n
+            both, n = np.concatenate([keys, found]), np.concatenate([counts, n])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            starts = np.flatnonzero(np.diff(both, prepend=-1))
+            return both[starts], np.add.reduceat(n[order], starts) if len(both) else n
+
+        def told(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            keys, counts = keys[counts >= least], counts[counts >= least]
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["x", "y", "together"])
+
+        for batch in batches:
+            lists = batch["ys"]
+            x = np.repeat(batch["x"].to_numpy().astype(np.int64) << 32, np.diff(lists.offsets.to_numpy()))
+            waiting.append(x | lists.flatten().to_numpy().astype(np.int64))
+            size += len(x)
+            if size >= TALLY_PAIRS:
+                keys, counts = counted()
+                done = int(np.searchsorted(keys, keys[-1] >> 32 << 32))
+                yield told(keys[:done], counts[:done])
+                keys, counts, waiting, size = keys[done:], counts[done:], [], 0
+        yield told(*counted())
+
+    return run
+
+
+def _count(stripes: DataFrame, ids: DataFrame, top: int, min_count: int, key_baskets: int) -> DataFrame:
+    """``x, y, together`` of pairs with at least ``min_count``. Stripes with one x meet in one task, which counts them to
+    the end; but those of items with more baskets than ``key_baskets``, which are rarer than the other item of few pairs
+    only, are counted in several parts that are added up."""
+
+    def tallied(df: DataFrame, by: list[str], least: int) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions("x").select("x", "ys").mapInArrow(_tally(least), "x int, y int, together bigint")
+
     if top <= key_baskets:
-        return stripes.repartition("x").select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count("*").alias("together"))
+        return tallied(stripes, ["x"], min_count)
     first_hot = ids.filter(F.col("baskets") > key_baskets).agg(F.min("id")).first()[0]
-    part = F.when(F.col("x") >= first_hot, F.pmod(F.hash("basket"), F.lit(-(-top // key_baskets)))).otherwise(0)
-    parts = stripes.withColumn("part", part).repartition("x", "part").select("x", "part", F.explode("ys").alias("y")).groupBy("x", "part", "y").agg(F.count("*").alias("together"))
-    return parts.groupBy("x", "y").agg(F.sum("together").alias("together"))
+    hot = stripes.filter(F.col("x") >= first_hot).withColumn("part", F.pmod(F.hash("basket"), F.lit(-(-top // key_baskets))))
+    parts = tallied(hot, ["x", "part"], 1).groupBy("x", "y").agg(F.sum("together").alias("together"))
+    return tallied(stripes.filter(F.col("x") < first_hot), ["x"], min_count).unionByName(parts.filter(F.col("together") >= min_count))
 
 
 def _exact(x: Column) -> Column:

@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,31 @@ def test_gathering_holds_one_range(monkeypatch):
     assert sum(sum(b["occurrences"][0].as_py()) for b in out) == 2 * len(ids)
     again = list(terms._gather(iter(out), True))
     assert [b.to_pydict() for b in again] == [b.to_pydict() for b in out]
+
+
+@pytest.mark.parametrize("key_baskets", [1_000_000, 20])
+def test_pairs_are_counted_in_bounded_steps(spark, monkeypatch, key_baskets):
+    monkeypatch.setattr(together, "TALLY_PAIRS", 50)
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 120, 1_500), rng.integers(0, 40, 1_500) ** 2 // 40)})
+    of = {}
+    for b, i in rows:
+        of.setdefault(b, []).append(i)
+    expected = Counter(p for items in of.values() for p in combinations(sorted(items), 2))
+    df = spark.createDataFrame(rows, "b int, i int")
+    found = together.pair_counts(df, "b", "i", min_count=4, key_baskets=key_baskets, block_items=8)
+    assert {(r["item_a"], r["item_b"]): r["together"] for r in found.collect()} == {p: n for p, n in expected.items() if n >= 4}
+    # Counts of each step, as they come out of a task, and never a pair twice.
+    x = pa.array([0] * 30 + [1] * 5, pa.int32())
+    ys = pa.array([[5, 6, 7 + k % 3] for k in range(30)] + [[2]] * 5, pa.list_(pa.int32()))
+    batches = [pa.RecordBatch.from_arrays([x[k : k + 4], ys[k : k + 4]], names=["x", "ys"]) for k in range(0, 35, 4)]
+    told = [tuple(r.values()) for b in together._tally(6)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(told) == [(0, 5, 30), (0, 6, 30), (0, 7, 10), (0, 8, 10), (0, 9, 10)]
+
+
+def test_pairs_of_cold_items_are_shuffled_once(spark):
+    # Where some item has more baskets than a task is to count, pairs under all other items are final after one shuffle.
+    rows = [(b, i) for b in range(60) for i in ([100, 101] if b < 50 else []) + [b % 7, 7 + b % 11]]
+    df = spark.createDataFrame(rows, "b int, i int")
+    plan = together.pair_counts(df, "b", "i", key_baskets=30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.split("Union")[1].split("Aggregate")[0]
