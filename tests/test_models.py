@@ -1,4 +1,5 @@
 import os
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -12,6 +13,7 @@ from ratelathe.models import fit, scoring
 from ratelathe.models.kernel import Histories, State, UserLists, epoch, lane_epoch
 from ratelathe.operators import clusters as cl
 from ratelathe.operators.views import Ratings
+from ratelathe.session import release, shared_dir
 
 PENALTIES = {"b": 0.01, "p": 0.02, "q": 0.03, "x": 0.04, "y": 0.05, "pC": 0.06, "qC": 0.07, "xC": 0.08, "yC": 0.09}
 
@@ -290,3 +292,22 @@ def test_profiles():
     for bad in ({"epochs": 0}, {"dtype": "int"}, {"alpha": 2}, {"backend": "gpu"}, {"penalties": (("b", -1.0),)}):
         with pytest.raises(ValueError):
             cfg.Config("biased_mf", **bad)
+
+
+def test_a_fit_stores_one_epoch_at_a_time(spark):
+    def stored():
+        top = shared_dir(spark).removeprefix("file:")
+        return sum(n.startswith("rdd-") for _, names, _ in os.walk(top) for n in names)
+
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, int(u), int(i), 3.0) for k, (u, i) in enumerate(zip(rng.integers(0, 20, 200), rng.integers(0, 15, 200)))], "row_id long, user_idx int, item_idx int, rating double")
+    release(spark)
+    time.sleep(1)
+    before = stored()
+    model = fit.fit(Ratings.of(rows), cfg.Config("biased_mf", 2, 8))
+    for _ in range(50):
+        # Spark deletes in the background.
+        if stored() - before <= 4:
+            break
+        time.sleep(0.2)
+    assert stored() - before <= 4 and model.parameters.count()
