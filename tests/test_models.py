@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ratelathe.functions import metrics
 from ratelathe.models import config as cfg
 from ratelathe.models import fit, scoring
+from ratelathe.models.arrays import Folder, normals
 from ratelathe.models.kernel import Histories, State, UserLists, epoch, lane_epoch
 from ratelathe.operators import clusters as cl
 from ratelathe.operators.views import Ratings
-from ratelathe.session import release, shared_dir
+from ratelathe.session import packed, release, shared_dir
 
 PENALTIES = {"b": 0.01, "p": 0.02, "q": 0.03, "x": 0.04, "y": 0.05, "pC": 0.06, "qC": 0.07, "xC": 0.08, "yC": 0.09}
 
@@ -326,3 +327,76 @@ def test_a_fit_stores_one_epoch_at_a_time(spark):
             break
         time.sleep(0.2)
     assert stored() - before <= 4 and model.parameters.count()
+
+
+def test_normals_are_those_of_sparks_hash(spark):
+    uniform = lambda k, which: (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.lit("pC"), F.col("id").cast("int"), k, F.lit(which)), 11) + 0.5) / float(1 << 53)
+    vector = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.sqrt(-2 * F.log(uniform(k, 1))) * F.cos(2 * np.pi * uniform(k, 2)))
+    rows = spark.range(5).select("id", vector.alias("f")).orderBy("id").collect()
+    assert np.allclose(normals(7, "pC", np.arange(5), 3), [r["f"] for r in rows], atol=1e-12)
+
+
+def test_files_of_arrays(tmp_path):
+    folder = Folder.new(f"file://{tmp_path}")
+    ids, vectors = np.array([2, 5, 9]), np.arange(6.0).reshape(3, 2)
+    folder.write("a/b", ids, np.array([1.0, 2.0, 3.0]), vectors)
+    found = folder.read("a/b", 3, 9)
+    assert [x.tolist() for x in found] == [[5], [2.0], [[2.0, 3.0]]]
+    folder.write("a/none", ids[:0], None, vectors[:0])
+    assert folder.read("a/none")[2].shape == (0, 2)
+    folder.delete("a", "missing")
+    assert not os.path.exists(f"{folder.uri.removeprefix('file://')}/a")
+
+
+@pytest.mark.parametrize("name", ["biased_mf", "asymmetric_svd"])
+def test_blocks_share_only_what_they_have_in_common(spark, data, name, monkeypatch):
+    """Two epochs over blocks, a user spread over several among them, against the same on whole arrays."""
+    rows = data.rows.unionByName(data.rows.selectExpr("row_id + 1000 as row_id", "0 as user_idx", "item_idx", "rating"))
+    more = Ratings.of(rows).materialize()
+    config, sent = cfg.Config(name, 3, 2, 0.05, dtype="float64", seed=5), {}
+    real = fit._held
+    monkeypatch.setattr(fit, "_held", lambda placed, *rest: (sent.setdefault("placed", placed.toPandas()), real(placed, *rest))[1])
+    model = fit.fit(more, config, block_rows=120)
+    placed = sent["placed"].sort_values("row_id")
+    assert placed[placed["user_idx"] == 0]["block"].nunique() > 1 and placed["block"].nunique() > 3
+    state = {"bu": np.zeros(30), "bi": np.zeros(20)} | {p: 0.1 * normals(5, p, np.arange(30 if p == "p" else 20), 3) for p in config.parts}
+    histories = None
+    if "y" in config.parts:
+        first = placed.drop_duplicates(["user_idx", "item_idx"]).sort_values(["user_idx", "item_idx"])
+        histories = Histories(np.concatenate([[0], np.cumsum(np.bincount(first["user_idx"], minlength=30))]), first["item_idx"].to_numpy(), first["rating"].to_numpy())
+    penalty = dict.fromkeys(PENALTIES, 0.02)
+    for number in range(2):
+        apart = []
+        for block, mine in placed.groupby("block"):
+            s = State(model.mean, 0.0, {p: m.copy() for p, m in state.items()})
+            u, i, r = (mine[c].to_numpy() for c in ("user_idx", "item_idx", "rating"))
+            apart.append((s, lane_epoch(s, u, i, r, histories, None, None, 0.05, penalty, np.random.default_rng([5, number, block]))))
+        for p, m in state.items():
+            together, shares = sum(k[p] for _, k in apart), sum(-np.expm1(-k[p]) for _, k in apart)
+            scale = np.divide(-np.expm1(-together), shares, out=np.ones_like(shares), where=shares > 0)
+            m += sum(s.values[p] - m for s, _ in apart) * scale.reshape(-1, *[1] * (m.ndim - 1))
+    for part, values in state.items():
+        found = model.table(part, "id").orderBy("id").collect()
+        assert np.allclose([r["f"] for r in found], values.reshape(len(values), -1), atol=1e-12), part
+    assert not [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith("fit-")]
+
+
+def test_users_without_ratings_keep_their_first_values(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 3.0), (1, 2, 1, 4.0)], "row_id long, user_idx int, item_idx int, rating double")
+    model = fit.fit(replace(Ratings.of(rows), n_users=5), cfg.Config("biased_mf", 2, 1))
+    assert [r["id"] for r in model.table("p", "id").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_packed_rows_take_a_fraction(spark):
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 3 > 0, "train").alias("split"), F.array((F.col("id") % 7).cast("int")).alias("few"))
+
+    def stored(keep):
+        top = shared_dir(spark).removeprefix("file:")
+        size = lambda: {os.path.join(at, n): os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(top) for n in names}
+        before = size()
+        kept = keep(df)
+        return sum(n for path, n in size().items() if path not in before), kept
+
+    (small, kept), (large, whole) = stored(packed), stored(lambda x: x.checkpoint())
+    assert kept.schema == df.schema and kept.exceptAll(whole).count() == 0 and kept.count() == 40_000
+    assert small * 2 < large
