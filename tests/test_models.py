@@ -400,3 +400,23 @@ def test_packed_rows_take_a_fraction(spark):
     (small, kept), (large, whole) = stored(packed), stored(lambda x: x.checkpoint())
     assert kept.schema == df.schema and kept.exceptAll(whole).count() == 0 and kept.count() == 40_000
     assert small * 2 < large
+
+
+@pytest.mark.parametrize("name", ["asvdpp", "cb_asvdpp"])
+def test_scores_by_files_are_those_by_joins(spark, data, clusters, name, monkeypatch):
+    config = cfg.Config(name, 3, 1, 0.05, dtype="float64", alpha=0.2 if "cb" in name else 0.0)
+    model = fit.fit(data, config, fit.Indices(clusters=clusters if "cb" in name else None))
+    pairs = data.rows.select("user_idx", "item_idx", "rating").unionByName(spark.createDataFrame([(0, 999, None), (None, 1, None), (999, 1, None)], "user_idx int, item_idx int, rating double"))
+    read = lambda m: [(r["user_idx"], r["item_idx"], r["prediction"]) for r in scoring.predict(m, pairs).orderBy("user_idx", "item_idx", "rating").collect()]
+    found = []
+    for held, broadcast in ((0, 100_000), (1 << 20, 100_000), (1 << 20, 0)):
+        monkeypatch.setattr(scoring, "HELD_BYTES", held)
+        monkeypatch.setattr(scoring, "BROADCAST_ITEMS", broadcast)
+        one = replace(model)
+        found.append(read(one))
+        plan = scoring.contexts(one)._jdf.queryExecution().executedPlan().toString()
+        assert ("explode" in plan) == (not held)
+        scoring.forget(one)
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert all((a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-9) for a, b in zip(found[0], other))
