@@ -420,3 +420,13 @@ def test_scores_by_files_are_those_by_joins(spark, data, clusters, name, monkeyp
     for other in found[1:]:
         assert [x[:2] for x in other] == [x[:2] for x in found[0]]
         assert all((a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-9) for a, b in zip(found[0], other))
+
+
+def test_clusters_need_no_sorted_errors(data, monkeypatch):
+    fitted = []
+    real = fit.fit
+    monkeypatch.setattr(fit, "fit", lambda *a: (fitted.append(real(*a)), fitted[-1])[1])
+    with monkeypatch.context() as m:
+        m.setattr(metrics.skew, "key_percentiles", lambda *a: pytest.fail("errors are sorted"))
+        found = cl.induce(data, cfg.Config("biased_mf", 2, 2, 0.02), 2, 2)
+    assert found.train_rmse == pytest.approx(rmse(fitted[0], data))
